@@ -1 +1 @@
-"""Column expressions. All of them run inside the JVM."""
+"""Column expressions, which run inside the JVM, and the helpers that run inside Python tasks."""

@@ -6,9 +6,9 @@ depends on all earlier events of the address, so the anchors form a chain. The c
 
 1. `suspects` keeps the addresses that could exceed the limit at all; nobody else's events are looked at again.
 2. `tick_counts` collapses their events to one row per (address, arrival).
-3. Time is cut into chunks. For each (address, chunk) on its own, `_chunk_exits` tells for every possible first
-   anchor in the chunk which anchor the chain leaves it with. `_chain_chunks` follows these summaries from chunk to
-   chunk, and `_place_anchors` fills in the anchors inside every chunk.
+3. Time is cut into chunks. For each (address, chunk) on its own, `chunk_exits` tells for every possible first
+   anchor in the chunk which anchor the chain leaves it with. `chain_chunks` follows these summaries from chunk to
+   chunk, and `place_anchors` fills in the anchors inside every chunk.
 4. `rate_windows` sums up each window and notes the arrival at which the limit is reached.
 
 No step needs all events of an address in one task: groups hold at most one chunk of distinct arrivals, and the one
@@ -18,31 +18,28 @@ shared folder; there are at most 1/limit as many as events. Events are then join
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querytide.errors import InvalidArgumentError
+from querytide.functions.anchors import chain_chunks, chunk_exits, place_anchors
 from querytide.functions.times import cell
 from querytide.operators.ranking import first_k_per_group
 from querytide.session import stored
 
 # Windows per chunk: the walk along an address's time line reads about 1/256 of its distinct arrivals.
 _WINDOWS_PER_CHUNK = 256
-# Stands for "no anchor yet"; far enough in the past to lie outside every window.
-_NEVER = -(2**62)
 
 
 def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") -> DataFrame:
-    """Events per (address, arrival), without events that have no address."""
+    """Events per (ip, arrival), without events that have no address. `carried` is 0 here, see `rate_windows`."""
     return (
         events.where(F.col(ip) != "")
         .groupBy(F.col(ip).alias("ip"), F.col(arrival).alias("arrival"))
         .agg(F.count("*").alias("n"))
+        .withColumn("carried", F.lit(0).cast("bigint"))
     )
 
 
@@ -66,168 +63,50 @@ def suspects(events: DataFrame, limit: int, ttl: int, ip: str = "ip", arrival: s
     )
 
 
-def _whole_chunks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that no (ip, chunk) group is split between two of them."""
-    waiting: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        same = (frame["ip"] == frame["ip"].iat[-1]) & (frame["chunk"] == frame["chunk"].iat[-1])
-        first = int(np.argmax(same.to_numpy()))
-        if first or (waiting and _last_key(waiting[-1]) != _last_key(frame)):
-            yield pd.concat([*waiting, frame.iloc[:first]], ignore_index=True)
-            waiting = []
-        waiting.append(frame.iloc[first:])
-    if waiting:
-        yield pd.concat(waiting, ignore_index=True)
-
-
-def _last_key(frame: pd.DataFrame) -> tuple[str, int]:
-    return frame["ip"].iat[-1], frame["chunk"].iat[-1]
-
-
-def _group_starts(frame: pd.DataFrame) -> np.ndarray:
-    ip, chunk = frame["ip"].to_numpy(), frame["chunk"].to_numpy()
-    starts = np.ones(len(frame), dtype=bool)
-    starts[1:] = (ip[1:] != ip[:-1]) | (chunk[1:] != chunk[:-1])
-    return starts
-
-
-class _ChunkIndex:
-    """Positions within a frame of whole (ip, chunk) groups sorted by arrival."""
-
-    def __init__(self, frame: pd.DataFrame, ttl: int, span: int):
-        self.opens = _group_starts(frame)
-        self.group = np.cumsum(self.opens) - 1
-        self.first = np.flatnonzero(self.opens)
-        self.offset = frame["arrival"].to_numpy() - frame["chunk"].to_numpy() * span
-        # Groups laid out on one axis, further apart than a window reaches.
-        self.stride = span + ttl + 1
-        self.axis = self.group * self.stride + self.offset
-        after = np.searchsorted(self.axis, self.axis + ttl, side="right")
-        inside = self.group[np.minimum(after, len(frame) - 1)] == self.group
-        self.next = np.where((after < len(frame)) & inside, after, -1)
-
-
-def _chunk_exits(ttl: int, span: int):
-    """Per chunk: for every arrival that may be its first anchor, the last anchor that follows from it."""
-
-    def summarise(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_chunks(frames):
-            index = _ChunkIndex(frame, ttl, span)
-            # A window from before the chunk ends within its first `ttl` units.
-            may_enter = index.opens.copy()
-            may_enter[1:] |= index.offset[:-1] < ttl
-            entry = np.flatnonzero(may_enter)
-            exit_ = entry
-            while (index.next[exit_] >= 0).any():
-                exit_ = np.where(index.next[exit_] >= 0, index.next[exit_], exit_)
-            # Later entries never leave earlier, so of equal exits the latest entry stands for all.
-            keep = np.ones(len(entry), dtype=bool)
-            keep[:-1] = exit_[1:] != exit_[:-1]
-            arrival = frame["arrival"].to_numpy()
-            yield pd.DataFrame(
-                {
-                    "ip": frame["ip"].to_numpy()[entry[keep]],
-                    "chunk": frame["chunk"].to_numpy()[entry[keep]],
-                    "entry": arrival[entry[keep]],
-                    "exit": arrival[exit_[keep]],
-                }
-            )
-
-    return summarise
-
-
-def _chain_chunks(ttl: int):
-    """Per address: the anchor whose window is the latest one when each chunk begins."""
-
-    def follow(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor = None, _NEVER
-        for frame in _whole_chunks(frames):
-            first = np.flatnonzero(_group_starts(frame))
-            bounds = np.append(first, len(frame)).tolist()
-            ips, entries, exits = frame["ip"].tolist(), frame["entry"].tolist(), frame["exit"].tolist()
-            incoming = []
-            for low, high in zip(bounds, bounds[1:]):
-                if ips[low] != current:
-                    current, anchor = ips[low], _NEVER
-                incoming.append(anchor)
-                at = bisect_right(entries, anchor + ttl, low, high)
-                if at < high:
-                    anchor = exits[at]
-            yield pd.DataFrame(
-                {
-                    "ip": frame["ip"].to_numpy()[first],
-                    "chunk": frame["chunk"].to_numpy()[first],
-                    "incoming": np.array(incoming, dtype=np.int64),
-                }
-            )
-
-    return follow
-
-
-def _place_anchors(ttl: int, span: int):
-    """Per chunk: the anchor of the window that each arrival belongs to, given the anchor the chunk begins with."""
-
-    def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in _whole_chunks(frames):
-            index = _ChunkIndex(frame, ttl, span)
-            arrival, incoming = frame["arrival"].to_numpy(), frame["incoming"].to_numpy()
-            covered = np.maximum(incoming[index.first] + ttl - frame["chunk"].to_numpy()[index.first] * span, -1)
-            groups = np.arange(len(index.first))
-            at = np.searchsorted(index.axis, groups * index.stride + covered, side="right")
-            ends = np.append(index.first[1:], len(frame))
-            at = at[at < ends]
-            is_anchor = np.zeros(len(frame), dtype=bool)
-            while at.size:
-                is_anchor[at] = True
-                at = index.next[at]
-                at = at[at >= 0]
-            latest = np.maximum.accumulate(np.where(is_anchor, np.arange(len(frame)), -1))
-            own = latest >= index.first[index.group]
-            yield frame[["ip", "arrival", "n", "carried"]].assign(anchor=np.where(own, arrival[latest], incoming))
-
-    return place
-
-
-def anchored_ticks(ticks: DataFrame, ttl: int) -> DataFrame:
+def _anchored(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:
     """(ip, arrival, n, carried, anchor): every tick with the anchor of its window."""
-    span = _WINDOWS_PER_CHUNK * (ttl + 1)
-    chunked = ticks.withColumn("chunk", cell(F.col("arrival"), span))
-    by_chunk = chunked.repartition("ip", "chunk").sortWithinPartitions("ip", "chunk", "arrival")
-    exits = by_chunk.select("ip", "chunk", "arrival").mapInPandas(
-        _chunk_exits(ttl, span), "ip string, chunk bigint, entry bigint, exit bigint"
-    )
+    exits = by_chunk.mapInPandas(chunk_exits(ttl, span), "ip string, chunk bigint, entry bigint, exit bigint")
     incoming = (
         exits.repartition("ip")
         .sortWithinPartitions("ip", "chunk", "entry")
-        .mapInPandas(_chain_chunks(ttl), "ip string, chunk bigint, incoming bigint")
+        .mapInPandas(chain_chunks(ttl), "ip string, chunk bigint, incoming bigint")
     )
     return (
-        chunked.join(incoming, ["ip", "chunk"])
-        .repartition("ip", "chunk")
+        by_chunk.join(incoming, ["ip", "chunk"])
         .sortWithinPartitions("ip", "chunk", "arrival")
         .mapInPandas(
-            _place_anchors(ttl, span), "ip string, arrival bigint, n bigint, carried bigint, anchor bigint"
+            place_anchors(ttl, span), "ip string, arrival bigint, n bigint, carried bigint, anchor bigint"
         )
     )
 
 
-def rate_windows(ticks: DataFrame, limit: int, ttl: int) -> DataFrame:
-    """(ip, anchor, n, cut): every window, its events, and where it reaches the limit.
+def rate_windows(ticks: DataFrame, limit: int, ttl: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(ip, anchor, n, cut): every window, its events, and where it reaches the limit, as kept by `store`.
 
     `cut` is null while the limit holds. Otherwise `cut.arrival` is the first arrival with an event over the limit,
     and the first `cut.keep` events of that arrival still pass. `carried` counts events that were already let through
     or dropped before this table begins; they come first within their arrival.
     """
+    span = _WINDOWS_PER_CHUNK * (ttl + 1)
+    by_chunk = (
+        ticks.withColumn("chunk", cell(F.col("arrival"), span))
+        .repartition("ip", "chunk")
+        .sortWithinPartitions("ip", "chunk", "arrival")
+    )
     in_window = Window.partitionBy("ip", "anchor").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
     total = F.col("n") + F.col("carried")
-    seen = anchored_ticks(ticks, ttl).withColumn("seen", F.sum(total).over(in_window))
     keep = F.greatest(F.lit(limit) - (F.col("seen") - F.col("n")), F.lit(0)).alias("keep")
-    return seen.groupBy("ip", "anchor").agg(
-        F.sum(total).alias("n"),
-        F.min(F.when(F.col("seen") > limit, F.struct("arrival", keep))).alias("cut"),
-    )
+    # Read twice, before and after the chain is known.
+    by_chunk.persist()
+    try:
+        seen = _anchored(by_chunk, ttl, span).withColumn("seen", F.sum(total).over(in_window))
+        windows = seen.groupBy("ip", "anchor").agg(
+            F.sum(total).alias("n"),
+            F.min(F.when(F.col("seen") > limit, F.struct("arrival", keep))).alias("cut"),
+        )
+        return store(windows)
+    finally:
+        by_chunk.unpersist()
 
 
 def blocks(
@@ -309,8 +188,9 @@ def with_rate_verdict(
     if suspected.isEmpty():
         return events.withColumn(verdict, F.lit(True))
     ticks = tick_counts(counted.join(suspected.withColumnRenamed("ip", ip), ip, "left_semi"), ip, arrival)
-    windows = rate_windows(ticks.withColumn("carried", F.lit(0).cast("bigint")), limit, ttl)
-    reached = stored(windows.where(F.col("cut").isNotNull()), "rate-windows")
+    reached = rate_windows(
+        ticks, limit, ttl, lambda windows: stored(windows.where(F.col("cut").isNotNull()), "rate-windows")
+    )
     labelled = label(counted, reached, limit, ttl, order, ip, arrival, verdict)
     if among is None:
         return labelled

@@ -117,10 +117,9 @@ class LiveJob:
         opened = still_open.select(
             "ip", F.col("anchor").alias("arrival"), none.alias("n"), F.col("n").alias("carried")
         )
-        fresh = tick_counts(events).withColumn("carried", none)
-        ticks = fresh.unionByName(opened).groupBy("ip", "arrival")
+        ticks = tick_counts(events).unionByName(opened).groupBy("ip", "arrival")
         ticks = ticks.agg(F.sum("n").alias("n"), F.sum("carried").alias("carried"))
-        windows = self._windows.write(rate_windows(ticks, limit, ttl), batch_id)
+        windows = rate_windows(ticks, limit, ttl, lambda found: self._windows.write(found, batch_id))
 
         labelled = label(events, windows, limit, ttl, _ORDER).select(
             F.when(~F.col("rate_ok"), ANTIFRAUD).alias("drop_reason"), "timestamp", "query"

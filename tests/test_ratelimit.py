@@ -4,14 +4,9 @@ import pandas as pd
 import pytest
 from models import rate_verdicts
 
+from querytide.functions.anchors import chain_chunks, chunk_exits, place_anchors, whole_chunks
 from querytide.operators import ratelimit
-from querytide.operators.ratelimit import (
-    _chain_chunks,
-    _chunk_exits,
-    _place_anchors,
-    _whole_chunks,
-    with_rate_verdict,
-)
+from querytide.operators.ratelimit import with_rate_verdict
 
 COLUMNS = "seq bigint, ip string, arrival bigint"
 
@@ -79,9 +74,9 @@ def anchors_by_chunks(arrivals, ttl, chunk_windows, batch):
     def batches(frame):
         return (frame.iloc[i : i + batch].reset_index(drop=True) for i in range(0, len(frame), batch))
 
-    exits = pd.concat(_chunk_exits(ttl, span)(batches(ticks)), ignore_index=True)
-    incoming = pd.concat(_chain_chunks(ttl)(batches(exits)), ignore_index=True)
-    placed = pd.concat(_place_anchors(ttl, span)(batches(ticks.merge(incoming, on=["ip", "chunk"]))))
+    exits = pd.concat(chunk_exits(ttl, span)(batches(ticks)), ignore_index=True)
+    incoming = pd.concat(chain_chunks(ttl)(batches(exits)), ignore_index=True)
+    placed = pd.concat(place_anchors(ttl, span)(batches(ticks.merge(incoming, on=["ip", "chunk"]))))
     return dict(zip(placed["arrival"].tolist(), placed["anchor"].tolist())), exits
 
 
@@ -105,10 +100,10 @@ def test_summaries_are_much_smaller_than_a_dense_time_line():
     assert len(exits) <= 200_000 / 256 + 10
 
 
-def test_batches_are_regrouped_into_whole_chunks():
+def test_batches_are_regrouped_intowhole_chunks():
     frame = pd.DataFrame({"ip": ["a"] * 5 + ["b"] * 3, "chunk": [0, 0, 0, 1, 1, 1, 1, 2]})
     for size in range(1, 9):
-        parts = list(_whole_chunks(frame.iloc[i : i + size] for i in range(0, 8, size)))
+        parts = list(whole_chunks(frame.iloc[i : i + size] for i in range(0, 8, size)))
         keys = [set(zip(p["ip"], p["chunk"])) for p in parts]
         assert sum(len(k) for k in keys) == len(set().union(*keys)) == 4
         assert sum(len(p) for p in parts) == 8
