@@ -43,25 +43,31 @@ def read_message_files(spark: SparkSession, path: str, streaming: bool = True, f
     return reader.parquet(path)
 
 
+def _one_object(payload: Column) -> Column:
+    """True where the text begins and ends as an object does; Spark's reader also takes arrays and trailing text."""
+    bare = F.trim(payload, F.lit(" \t\r\n"))
+    return F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
+
+
 def _wrong_types(payload: Column) -> Column:
-    """True where a field holds another JSON type than its own, or the payload is not one object."""
+    """True where a field holds another JSON type than its own, or a key is repeated."""
     parsed = F.try_parse_json(payload)
 
     def kind(path: str) -> Column:
         return F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
 
-    wrong = ~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT"))
+    wrong = parsed.isNull()
     for field in SEARCH_EVENT:
         wanted = "BIGINT" if isinstance(field.dataType, T.LongType) else "STRING"
         wrong = wrong | ~F.coalesce(kind(f"$.{field.name}"), F.lit("VOID")).isin(wanted, "VOID")
-    return F.coalesce(wrong, F.lit(True)) | ~F.endswith(F.rtrim(payload), F.lit("}"))
+    return wrong
 
 
 def parse(messages: DataFrame, strict: bool = False) -> DataFrame:
     """Add `event`, the decoded struct, and `bad_reason`, null where the payload is a usable event.
 
     Spark's JSON reader turns a number or an object into text where text is wanted. `strict` rejects those, and
-    text after the object and repeated keys as well; it parses every payload twice.
+    repeated keys as well; it parses every payload twice.
     """
     payload = F.col("value").cast("string")
     schema = T.StructType([*SEARCH_EVENT.fields, T.StructField(_CORRUPT, T.StringType())])
@@ -72,7 +78,8 @@ def parse(messages: DataFrame, strict: bool = False) -> DataFrame:
         return F.coalesce(F.col(f"_raw.{name}"), F.lit("")).alias(name)
 
     timestamp = F.coalesce(F.col("_raw.timestamp"), F.lit(0).cast("bigint")).alias("timestamp")
-    bad = F.when(F.col("_raw").isNull() | F.col(f"_raw.{_CORRUPT}").isNotNull(), "not_an_event")
+    unreadable = F.col("_raw").isNull() | F.col(f"_raw.{_CORRUPT}").isNotNull() | ~_one_object(payload)
+    bad = F.when(unreadable, "not_an_event")
     if strict:
         bad = bad.when(_wrong_types(payload), "wrong_type")
     bad = bad.when(timestamp < 0, "negative_timestamp")

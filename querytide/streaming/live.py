@@ -76,9 +76,15 @@ class LiveJob:
         spark = messages.sparkSession
         parsed = parse(messages, self.strict).persist()
         try:
-            self._set_aside(parsed, batch_id)
-            clock = self._advance_clock(spark, parsed, batch_id)
-            counts = self._count(spark, parsed, batch_id)
+            latest, bad = parsed.agg(
+                F.max(arrival_millis(F.col("timestamp"))), F.count("bad_reason")
+            ).first()
+            before = self._clock.read(spark, batch_id - 1).agg(F.max("clock")).first()[0] or 0
+            clock = max(latest or 0, before)
+            self._clock.write(spark.range(1).select(F.lit(clock).cast("bigint").alias("clock")), batch_id)
+            if bad:
+                self._set_aside(parsed, batch_id)
+            counts = self._count(spark, parsed, batch_id, before)
             as_of = clock // 1000 if self.follow_arrivals else int(time.time())
             self._publish(spark, counts, batch_id, as_of)
         finally:
@@ -94,18 +100,9 @@ class LiveJob:
         bad = parsed.where(F.col("bad_reason").isNotNull()).select("value", "bad_reason", *_ORDER)
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
 
-    def _clock_before(self, spark: SparkSession, batch_id: int) -> int:
-        return self._clock.read(spark, batch_id - 1).agg(F.max("clock")).first()[0] or 0
-
-    def _advance_clock(self, spark: SparkSession, parsed: DataFrame, batch_id: int) -> int:
-        latest = parsed.agg(F.max(arrival_millis(F.col("timestamp")))).first()[0] or 0
-        clock = max(latest, self._clock_before(spark, batch_id))
-        self._clock.write(spark.range(1).select(F.lit(clock).cast("bigint").alias("clock")), batch_id)
-        return clock
-
-    def _count(self, spark: SparkSession, parsed: DataFrame, batch_id: int) -> DataFrame:
+    def _count(self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int) -> DataFrame:
+        """Counts per (drop_reason, bucket, query). `clock` is the latest arrival of the earlier batches."""
         limit, ttl = self.settings.rate_limit, self.settings.rate_ttl * 1000
-        clock = self._clock_before(spark, batch_id)
         usable = F.col("bad_reason").isNull()
         # The consumer's clock never runs backwards.
         arrival = F.greatest(arrival_millis(F.col("timestamp")), F.lit(clock).cast("bigint"))

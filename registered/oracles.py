@@ -97,7 +97,7 @@ _EDGES = "'^[\\s\\x{00a0}]+|[\\s\\x{00a0}]+$'"
 ORACLES = {
     "decode_events": f"""
 WITH {_SEARCHES}, {_DECODED}
-SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 4, 5, 8)
+SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 4, 5, 8, 9)
 """,
     "decode_events_strict": f"""
 WITH {_SEARCHES}, {_DECODED}
@@ -106,11 +106,11 @@ SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 3, 4, 5, 8, 9)
     "quarantine_events": f"""
 WITH {_SEARCHES}, {_PAYLOADS}
 SELECT seq, value, CASE seq % 50 WHEN 8 THEN 'negative_timestamp' ELSE 'not_an_event' END AS bad_reason
-FROM payloads WHERE seq % 50 IN (1, 2, 4, 5, 8)
+FROM payloads WHERE seq % 50 IN (1, 2, 4, 5, 8, 9)
 """,
     "quarantine_events_strict": f"""
 WITH {_SEARCHES}, {_PAYLOADS}
-SELECT seq, value, CASE WHEN seq % 50 = 8 THEN 'negative_timestamp' WHEN seq % 50 IN (3, 9) THEN 'wrong_type'
+SELECT seq, value, CASE WHEN seq % 50 = 8 THEN 'negative_timestamp' WHEN seq % 50 = 3 THEN 'wrong_type'
                         ELSE 'not_an_event' END AS bad_reason
 FROM payloads WHERE seq % 50 IN (1, 2, 3, 4, 5, 8, 9)
 """,
