@@ -36,7 +36,7 @@ _WINDOWS_PER_CHUNK = 256
 def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") -> DataFrame:
     """Events per (ip, arrival), without events that have no address. `carried` is 0 here, see `rate_windows`."""
     return (
-        events.where(F.col(ip) != "")
+        events.where((F.col(ip) != "") & F.col(arrival).isNotNull())
         .groupBy(F.col(ip).alias("ip"), F.col(arrival).alias("arrival"))
         .agg(F.count("*").alias("n"))
         .withColumn("carried", F.lit(0).cast("bigint"))
@@ -44,23 +44,12 @@ def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") ->
 
 
 def suspects(events: DataFrame, limit: int, ttl: int, ip: str = "ip", arrival: str = "arrival") -> DataFrame:
-    """Addresses with more than `limit` events in two neighbouring cells of a window's length.
+    """Addresses with more than half of `limit` events in some cell of a window's length.
 
-    Any window lies inside two such cells, so the others never reach the limit.
+    A window touches at most two such cells, so an address without such a cell never exceeds the limit.
     """
-    cells = (
-        events.where(F.col(ip) != "")
-        .groupBy(F.col(ip).alias("ip"), cell(F.col(arrival), ttl + 1).alias("cell"))
-        .agg(F.count("*").alias("n"))
-    )
-    return (
-        cells.select("ip", F.explode(F.array(F.col("cell"), F.col("cell") + 1)).alias("cell"), "n")
-        .groupBy("ip", "cell")
-        .agg(F.sum("n").alias("n"))
-        .where(F.col("n") > limit)
-        .select("ip")
-        .distinct()
-    )
+    cells = events.where(F.col(ip) != "").groupBy(F.col(ip).alias("ip"), cell(F.col(arrival), ttl + 1).alias("cell"))
+    return cells.agg(F.count("*").alias("n")).where(F.col("n") * 2 > limit).select("ip").distinct()
 
 
 def _anchored(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:

@@ -38,7 +38,9 @@ def delete_words(current: DataFrame, unwanted: DataFrame) -> DataFrame:
 
 def stop_predicate(text: Column, words: list[str]) -> Column:
     """True where the lower-cased text contains none of the normalised words; an empty list passes all."""
-    return ~contains_any(F.lower(text), F.lit(words)) if words else F.lit(True)
+    if not words:
+        return F.lit(True)
+    return ~F.coalesce(contains_any(F.lower(text), F.lit(words)), F.lit(False))
 
 
 def with_stop_verdict(

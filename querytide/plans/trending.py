@@ -21,7 +21,7 @@ def reason_counts(
     """(drop_reason, bucket_start, query, count) of events that went through the rate limit.
 
     The stop list looks at the query text only, so it is applied once per counted (bucket, query) and not once per
-    event. Counts of dropped events are summed up per reason.
+    event. Events dropped by an earlier filter are counted per reason, without bucket and query.
     """
     kept = F.col(reason).isNull()
     counted = labelled.groupBy(
@@ -30,14 +30,9 @@ def reason_counts(
         F.when(kept, F.col("query")).alias("query"),
     ).agg(F.count("*").alias("count"))
     checked = with_stop_verdict(counted, words, verdict="_ok")
-    stopped = F.col("query").isNotNull() & ~F.col("_ok")
-    final = F.when(stopped, STOPLIST).otherwise(F.col(reason))
-    passed = final.isNull()
-    return checked.groupBy(
-        final.alias("drop_reason"),
-        F.when(passed, F.col("bucket_start")).alias("bucket_start"),
-        F.when(passed, F.col("query")).alias("query"),
-    ).agg(F.sum("count").alias("count"))
+    stopped = F.col(reason).isNull() & ~F.col("_ok")
+    final = F.when(stopped, STOPLIST).otherwise(F.col(reason)).alias("drop_reason")
+    return checked.select(final, "bucket_start", "query", "count")
 
 
 def filtered_counts(

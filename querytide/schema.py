@@ -27,7 +27,17 @@ STOP_WORDS = T.StructType([T.StructField("word", T.StringType())])
 
 TOP = T.StructType([T.StructField("query", T.StringType()), T.StructField("count", T.LongType())])
 
-# Counts of one micro-batch. Dropped messages carry their reason and neither bucket nor query.
+# One published top list; `slot` is the folder it lives in.
+SNAPSHOT = T.StructType(
+    [
+        T.StructField("snapshot_id", T.LongType()),
+        T.StructField("updated_at", T.TimestampType()),
+        T.StructField("data", T.ArrayType(TOP)),
+        T.StructField("slot", T.IntegerType()),
+    ]
+)
+
+# Counts of one micro-batch. Messages dropped before the stop list have neither bucket nor query.
 BATCH_COUNTS = T.StructType(
     [
         T.StructField("drop_reason", T.StringType()),

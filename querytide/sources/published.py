@@ -12,11 +12,11 @@ from pyspark.sql.utils import AnalysisException
 
 from querytide.functions.times import rfc3339
 from querytide.operators.ranking import requested_limit, trim
-from querytide.schema import TOP
+from querytide.schema import SNAPSHOT, TOP
+from querytide.session import no_rows
 
 SLOTS = 16
 
-_SNAPSHOT = "snapshot_id bigint, updated_at timestamp, data array<struct<query:string,count:bigint>>, slot int"
 
 
 def _ordered(data: Column) -> Column:
@@ -55,11 +55,11 @@ def publish(top: DataFrame, path: str, snapshot_id: int, updated_at: Column) ->
 
 def _snapshots(spark: SparkSession, path: str) -> DataFrame:
     try:
-        written = spark.read.schema(_SNAPSHOT).option("ignoreMissingFiles", "true").parquet(path)
+        written = spark.read.schema(SNAPSHOT).option("ignoreMissingFiles", "true").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        written = spark.createDataFrame([], _SNAPSHOT)
+        written = no_rows(spark, SNAPSHOT)
     return written.drop("slot")
 
 
@@ -72,7 +72,7 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     empty = spark.range(1).select(
         F.lit(-1).cast("bigint").alias("snapshot_id"),
         F.current_timestamp().alias("updated_at"),
-        F.array().cast("array<struct<query:string,count:bigint>>").alias("data"),
+        F.array().cast(SNAPSHOT["data"].dataType).alias("data"),
     )
     newest = _snapshots(spark, path).unionByName(empty).orderBy(F.desc("snapshot_id")).limit(1)
     return newest.select("data", "updated_at")

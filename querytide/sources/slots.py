@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from querytide.session import no_rows
+
 SLOTS = 4
 
 
@@ -32,7 +34,7 @@ class SlottedTable:
     def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """What batch `batch_id` wrote; no rows for a batch before the first."""
         if batch_id < 0:
-            return spark.createDataFrame([], self.schema)
+            return no_rows(spark, self.schema)
         stamped = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
         rows = spark.read.schema(stamped).parquet(self._slot(batch_id))
         return rows.where(F.col("batch_id") == batch_id).drop("batch_id")

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from querytide.operators.stoplist import add_words, delete_words, normalise
 from querytide.schema import STOP_WORDS
+from querytide.session import no_rows
 from querytide.settings import DEFAULT_STOP_WORDS
 
 _LOG = "version bigint"
 
 
 def words_table(spark: SparkSession, words: Iterable[str]) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in words], STOP_WORDS)
+    listed = list(words)
+    if not listed:
+        return no_rows(spark, STOP_WORDS)
+    return spark.range(1).select(F.explode(F.lit(listed)).alias("word"))
 
 
 def default_words(spark: SparkSession) -> DataFrame:

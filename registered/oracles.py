@@ -169,8 +169,8 @@ UNION ALL SELECT seq, 'brand' FROM searches WHERE ends_with(query, '1')
 """,
     "reason_bucket_counts": f"""
 {_CHAIN}
-SELECT drop_reason, CASE WHEN drop_reason IS NULL THEN timestamp // 3600 * 3600 END AS bucket_start,
-       CASE WHEN drop_reason IS NULL THEN query END AS query, count(*) AS count
+SELECT drop_reason, CASE WHEN rate_ok THEN timestamp // 3600 * 3600 END AS bucket_start,
+       CASE WHEN rate_ok THEN query END AS query, count(*) AS count
 FROM reasons GROUP BY ALL
 """,
     "bucket_counts": f"WITH {_SEARCHES}, {_HOURLY} SELECT * FROM hourly",
