@@ -31,6 +31,8 @@ from querytide.session import stored
 
 # Windows per chunk: the walk along an address's time line reads about 1/256 of its distinct arrivals.
 _WINDOWS_PER_CHUNK = 256
+# Up to this many windows' length, anchors are found one after another.
+_MAX_ROUNDS = 8
 
 
 def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") -> DataFrame:
@@ -52,7 +54,7 @@ def suspects(events: DataFrame, limit: int, ttl: int, ip: str = "ip", arrival: s
     return cells.agg(F.count("*").alias("n")).where(F.col("n") * 2 > limit).select("ip").distinct()
 
 
-def _anchored(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:
+def _anchored_in_chunks(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:
     """(ip, arrival, n, carried, anchor): every tick with the anchor of its window."""
     exits = by_chunk.mapInPandas(chunk_exits(ttl, span), "ip string, chunk bigint, entry bigint, exit bigint")
     incoming = (
@@ -69,31 +71,59 @@ def _anchored(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:
     )
 
 
-def rate_windows(ticks: DataFrame, limit: int, ttl: int, store: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _anchored_in_rounds(ticks: DataFrame, ttl: int, rounds: int) -> DataFrame:
+    """The same for ticks that lie within `rounds` windows' length, one anchor per address and round.
+
+    An address has at most `rounds` times `ttl + 1` ticks here, so it may be one group.
+    """
+    by_ip = Window.partitionBy("ip")
+    arrival, opened = F.col("arrival"), F.col("_opened")
+    placed = ticks.withColumn("_opened", F.min("arrival").over(by_ip)).withColumn("anchor", opened)
+    for _ in range(rounds - 1):
+        placed = placed.withColumn("_opened", F.min(F.when(arrival > opened + ttl, arrival)).over(by_ip))
+        placed = placed.withColumn("anchor", F.when(arrival >= opened, opened).otherwise(F.col("anchor")))
+    return placed.drop("_opened")
+
+
+def _summed(anchored: DataFrame, limit: int) -> DataFrame:
+    in_window = Window.partitionBy("ip", "anchor").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("n") + F.col("carried")
+    keep = F.greatest(F.lit(limit) - (F.col("seen") - F.col("n")), F.lit(0)).alias("keep")
+    seen = anchored.withColumn("seen", F.sum(total).over(in_window))
+    return seen.groupBy("ip", "anchor").agg(
+        F.sum(total).alias("n"),
+        F.min(F.when(F.col("seen") > limit, F.struct("arrival", keep))).alias("cut"),
+    )
+
+
+def rate_windows(
+    ticks: DataFrame,
+    limit: int,
+    ttl: int,
+    store: Callable[[DataFrame], DataFrame],
+    time_range: tuple[int, int] | None = None,
+) -> DataFrame:
     """(ip, anchor, n, cut): every window, its events, and where it reaches the limit, as kept by `store`.
 
     `cut` is null while the limit holds. Otherwise `cut.arrival` is the first arrival with an event over the limit,
     and the first `cut.keep` events of that arrival still pass. `carried` counts events that were already let through
-    or dropped before this table begins; they come first within their arrival.
+    or dropped before this table begins; they come first within their arrival. `time_range` holds the first and the
+    last arrival where the caller knows them; a range of a few windows needs no chunks.
     """
+    if time_range is not None:
+        rounds = (time_range[1] - time_range[0]) // (ttl + 1) + 1
+        if rounds <= _MAX_ROUNDS:
+            return store(_summed(_anchored_in_rounds(ticks, ttl, rounds), limit))
     span = _WINDOWS_PER_CHUNK * (ttl + 1)
     by_chunk = (
         ticks.withColumn("chunk", cell(F.col("arrival"), span))
         .repartition("ip", "chunk")
         .sortWithinPartitions("ip", "chunk", "arrival")
     )
-    in_window = Window.partitionBy("ip", "anchor").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("n") + F.col("carried")
-    keep = F.greatest(F.lit(limit) - (F.col("seen") - F.col("n")), F.lit(0)).alias("keep")
     # Read twice, before and after the chain is known.
     by_chunk.persist()
     try:
-        seen = _anchored(by_chunk, ttl, span).withColumn("seen", F.sum(total).over(in_window))
-        windows = seen.groupBy("ip", "anchor").agg(
-            F.sum(total).alias("n"),
-            F.min(F.when(F.col("seen") > limit, F.struct("arrival", keep))).alias("cut"),
-        )
-        return store(windows)
+        return store(_summed(_anchored_in_chunks(by_chunk, ttl, span), limit))
     finally:
         by_chunk.unpersist()
 

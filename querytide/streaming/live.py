@@ -76,15 +76,14 @@ class LiveJob:
         spark = messages.sparkSession
         parsed = parse(messages, self.strict).persist()
         try:
-            latest, bad = parsed.agg(
-                F.max(arrival_millis(F.col("timestamp"))), F.count("bad_reason")
-            ).first()
+            arrival = arrival_millis(F.col("timestamp"))
+            first, latest, bad = parsed.agg(F.min(arrival), F.max(arrival), F.count("bad_reason")).first()
             before = self._clock.read(spark, batch_id - 1).agg(F.max("clock")).first()[0] or 0
-            clock = max(latest or 0, before)
+            first, clock = max(first or 0, before), max(latest or 0, before)
             self._clock.write(spark.range(1).select(F.lit(clock).cast("bigint").alias("clock")), batch_id)
             if bad:
                 self._set_aside(parsed, batch_id)
-            counts = self._count(spark, parsed, batch_id, before)
+            counts = self._count(spark, parsed, batch_id, before, (first, clock))
             as_of = clock // 1000 if self.follow_arrivals else int(time.time())
             self._publish(spark, counts, batch_id, as_of)
         finally:
@@ -100,8 +99,13 @@ class LiveJob:
         bad = parsed.where(F.col("bad_reason").isNotNull()).select("value", "bad_reason", *_ORDER)
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
 
-    def _count(self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int) -> DataFrame:
-        """Counts per (drop_reason, bucket, query). `clock` is the latest arrival of the earlier batches."""
+    def _count(
+        self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int, arrivals: tuple[int, int]
+    ) -> DataFrame:
+        """Counts per (drop_reason, bucket, query).
+
+        `clock` is the latest arrival of the earlier batches, `arrivals` the first and latest of this one.
+        """
         limit, ttl = self.settings.rate_limit, self.settings.rate_ttl * 1000
         usable = F.col("bad_reason").isNull()
         # The consumer's clock never runs backwards.
@@ -116,7 +120,9 @@ class LiveJob:
         )
         ticks = tick_counts(events).unionByName(opened).groupBy("ip", "arrival")
         ticks = ticks.agg(F.sum("n").alias("n"), F.sum("carried").alias("carried"))
-        windows = rate_windows(ticks, limit, ttl, lambda found: self._windows.write(found, batch_id))
+        # Windows that are still open began up to `ttl` before the last batch ended.
+        time_range = (min(arrivals[0], clock - ttl) if clock else arrivals[0], arrivals[1])
+        windows = rate_windows(ticks, limit, ttl, lambda found: self._windows.write(found, batch_id), time_range)
 
         labelled = label(events, windows, limit, ttl, _ORDER).select(
             F.when(~F.col("rate_ok"), ANTIFRAUD).alias("drop_reason"), "timestamp", "query"

@@ -6,7 +6,7 @@ from models import rate_verdicts
 
 from querytide.functions.anchors import chain_chunks, chunk_exits, place_anchors, whole_chunks
 from querytide.operators import ratelimit
-from querytide.operators.ratelimit import with_rate_verdict
+from querytide.operators.ratelimit import rate_windows, with_rate_verdict
 
 COLUMNS = "seq bigint, ip string, arrival bigint"
 
@@ -107,3 +107,22 @@ def test_batches_are_regrouped_intowhole_chunks():
         keys = [set(zip(p["ip"], p["chunk"])) for p in parts]
         assert sum(len(k) for k in keys) == len(set().union(*keys)) == 4
         assert sum(len(p) for p in parts) == 8
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_equal_chunks(spark, seed):
+    rng = random.Random(seed)
+    ttl, limit, span = rng.choice([(9, 3, 80), (4, 1, 33), (9, 2, 8)])
+    rows = {(rng.choice("abcdef"), 1000 + rng.randrange(span)): (rng.randrange(1, 5), rng.choice([0, 0, 2])) for _ in range(90)}
+    ticks = spark.createDataFrame(
+        [(ip, t, n, carried) for (ip, t), (n, carried) in rows.items()],
+        "ip string, arrival bigint, n bigint, carried bigint",
+    )
+    times = [t for _, t in rows]
+
+    def collected(windows):
+        return sorted(map(str, windows.select("ip", "anchor", "n", "cut").collect()))
+
+    chunked = rate_windows(ticks, limit, ttl, collected)
+    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times))) == chunked
+    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times) + 1000 * ttl)) == chunked
