@@ -169,9 +169,11 @@ def label(
     ip: str = "ip",
     arrival: str = "arrival",
     verdict: str = "rate_ok",
+    among: Column | None = None,
 ) -> DataFrame:
     """Add a boolean column: false for events over the limit of their window. `windows` must be a stored table."""
-    cut = blocks(events, windows, limit, ttl, order, ip, arrival)
+    counted = events if among is None else events.where(among)
+    cut = blocks(counted, windows, limit, ttl, order, ip, arrival)
     at = F.col(arrival)
     inside = (
         (F.col(ip) == F.col("_ip"))
@@ -182,6 +184,8 @@ def label(
     joined = events.join(cut, inside, "left")
     still_passes = (at == F.col("_from")) & (F.struct(*order) <= F.col("_last"))
     passed = F.col("_ip").isNull() | F.coalesce(still_passes, F.lit(False))
+    if among is not None:
+        passed = passed | ~F.coalesce(among, F.lit(False))
     return joined.withColumn(verdict, passed).drop("_ip", "_cell", "_from", "_until", "_last")
 
 
@@ -198,7 +202,8 @@ def with_rate_verdict(
     """Rate-limit a table of events.
 
     `arrival` is a whole-number clock in the unit of `ttl`; `order` tells events of one arrival apart. Events with an
-    empty address pass and count for nothing, as do events outside `among`.
+    empty address pass and count for nothing, as do events outside `among`. The windows that reach the limit are
+    computed and written at once; the labelled events themselves are as lazy as any other DataFrame.
     """
     if limit < 1 or ttl < 1:
         raise InvalidArgumentError("limit and ttl must be at least 1")
@@ -210,8 +215,4 @@ def with_rate_verdict(
     reached = rate_windows(
         ticks, limit, ttl, lambda windows: stored(windows.where(F.col("cut").isNotNull()), "rate-windows")
     )
-    labelled = label(counted, reached, limit, ttl, order, ip, arrival, verdict)
-    if among is None:
-        return labelled
-    passed_over = events.where(~F.coalesce(among, F.lit(False))).withColumn(verdict, F.lit(True))
-    return labelled.unionByName(passed_over)
+    return label(events, reached, limit, ttl, order, ip, arrival, verdict, among)

@@ -14,7 +14,8 @@ def spark():
     session = build_session(
         "querytide-tests",
         spark__master="local[4]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
+        spark__default__parallelism="2",
         spark__driver__memory="4g",
         spark__checkpoint__dir=tempfile.mkdtemp(prefix="run-", dir="/tmp"),
         spark__driver__host="localhost",
