@@ -32,7 +32,7 @@ from querytide.session import stored
 # Windows per chunk: the walk along an address's time line reads about 1/256 of its distinct arrivals.
 _WINDOWS_PER_CHUNK = 256
 # Up to this many windows' length, anchors are found one after another.
-_MAX_ROUNDS = 8
+_MAX_ROUNDS = 16
 
 
 def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") -> DataFrame:

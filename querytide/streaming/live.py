@@ -83,7 +83,7 @@ class LiveJob:
             self._clock.write(spark.range(1).select(F.lit(clock).cast("bigint").alias("clock")), batch_id)
             if bad:
                 self._set_aside(parsed, batch_id)
-            counts = self._count(spark, parsed, batch_id, before, (first, clock))
+            counts = self._count(spark, parsed, batch_id, before, (first, clock), bad)
             as_of = clock // 1000 if self.follow_arrivals else int(time.time())
             self._publish(spark, counts, batch_id, as_of)
         finally:
@@ -100,17 +100,17 @@ class LiveJob:
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
 
     def _count(
-        self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int, arrivals: tuple[int, int]
+        self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int, arrivals: tuple[int, int], bad: int
     ) -> DataFrame:
         """Counts per (drop_reason, bucket, query).
 
-        `clock` is the latest arrival of the earlier batches, `arrivals` the first and latest of this one.
+        `clock` is the latest arrival of the earlier batches, `arrivals` the first and latest of this one, `bad` the
+        number of messages without an event.
         """
         limit, ttl = self.settings.rate_limit, self.settings.rate_ttl * 1000
-        usable = F.col("bad_reason").isNull()
         # The consumer's clock never runs backwards.
         arrival = F.greatest(arrival_millis(F.col("timestamp")), F.lit(clock).cast("bigint"))
-        events = parsed.where(usable).select("event.*", arrival.alias("arrival"), *_ORDER)
+        events = parsed.where(F.col("bad_reason").isNull()).select("event.*", arrival.alias("arrival"), *_ORDER)
 
         # A window that is still open continues as a tick at its anchor.
         none = F.lit(0).cast("bigint")
@@ -129,13 +129,17 @@ class LiveJob:
         )
         # The stop list is read here, once: the whole batch sees one version of it.
         counts = reason_counts(labelled, read_stop_words(spark, self.stop_words), self.settings.bucket)
-        malformed = parsed.where(~usable).groupBy(F.lit(MALFORMED).alias("drop_reason")).agg(
-            F.lit(None).cast("bigint").alias("bucket_start"),
-            F.lit(None).cast("string").alias("query"),
-            F.count("*").alias("count"),
-        )
+        if bad:
+            counts = counts.unionByName(
+                spark.range(1).select(
+                    F.lit(MALFORMED).alias("drop_reason"),
+                    F.lit(None).cast("bigint").alias("bucket_start"),
+                    F.lit(None).cast("string").alias("query"),
+                    F.lit(bad).cast("bigint").alias("count"),
+                )
+            )
         path = f"{self.counts_path}/batch_id={batch_id}"
-        counts.unionByName(malformed).write.mode("overwrite").parquet(path)
+        counts.write.mode("overwrite").parquet(path)
         return spark.read.schema(BATCH_COUNTS).parquet(path)
 
     def _publish(self, spark: SparkSession, counts: DataFrame, batch_id: int, as_of: int) -> None:
