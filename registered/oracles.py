@@ -14,7 +14,7 @@ searches AS (
          epoch_us(e.ts) // 1000 AS arrival_ms,
          epoch_us(e.ts) // 1000000
            - CASE e.event_id % 10 WHEN 0 THEN 200000 WHEN 1 THEN 4000 ELSE 0 END AS timestamp
-  FROM events e JOIN part p ON p.p_partkey = e.event_id % (SELECT count(*) FROM part)
+  FROM (SELECT *, event_id % (SELECT count(*) FROM part) AS turn FROM events) e JOIN part p ON p.p_partkey = e.turn
 ),
 latest AS (SELECT max(arrival) AS as_of FROM searches)
 """
