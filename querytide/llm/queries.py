@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from querytide.llm import backtracking_bpe, decontaminate, token_files
+from querytide.llm import backtracking_bpe, decision_list, decontaminate, token_files
 from querytide.llm.common import table
 from querytide.session import shared_folder
 
@@ -19,6 +19,10 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtracking_bpe.digests(
         backtracking_bpe.encode_and_decode(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -37,6 +41,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op4_bpe": op4_bpe,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
