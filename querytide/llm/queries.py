@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querytide.llm import backtracking_bpe, decision_list, decontaminate, token_files
+from querytide.llm import backtracking_bpe, decision_list, decontaminate, token_files, warc_salvage
 from querytide.llm.common import table
 from querytide.session import shared_folder
 
@@ -19,6 +20,24 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, "op1-archives")
+    pages = table(spark, sf_dir, "pages")
+    warc_salvage.write_archives(warc_salvage.with_revisits(pages, "page_id", "url", "html"), path)
+    found = warc_salvage.read_archives(spark, path, payloads=False).filter("gap IS NULL")
+
+    def page(column: str):
+        return F.regexp_extract(column, r"^urn:page:(-?\d+)$", 1).try_cast("long")
+
+    return found.select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,9 +60,20 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe": op4_bpe,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+        d AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p),
+        o AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY digest) ELSE page_id END AS original FROM d)
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+            CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> original THEN original END AS refers_to
+        FROM o
+    """,
+}
