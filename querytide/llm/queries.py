@@ -9,7 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.llm import backtracking_bpe, decision_list, decontaminate, token_files, warc_salvage
+from querytide.llm import (
+    backtracking_bpe,
+    circulant_minhash,
+    decision_list,
+    decontaminate,
+    relative_lempel_ziv,
+    token_files,
+    warc_salvage,
+)
 from querytide.llm.common import table
 from querytide.session import shared_folder
 
@@ -48,6 +56,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relative_lempel_ziv.kept_digests(relative_lempel_ziv.factor(table(spark, sf_dir, "documents")))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "op8-tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY, path, end_id=1)
@@ -63,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
     "op4_bpe": op4_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
