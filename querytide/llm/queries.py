@@ -15,6 +15,7 @@ from querytide.llm import (
     decision_list,
     decontaminate,
     relative_lempel_ziv,
+    site_template,
     token_files,
     warc_salvage,
 )
@@ -64,6 +65,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_template.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "op8-tokens")
     token_files.write_token_files(table(spark, sf_dir, "documents"), VOCABULARY, path, end_id=1)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_main_text": op7_main_text,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
 }
