@@ -16,6 +16,7 @@ from querytide.llm import (
     decontaminate,
     relative_lempel_ziv,
     site_template,
+    skip_chain,
     token_files,
     warc_salvage,
 )
@@ -80,6 +81,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_digests(found)
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_chain.span_digests(skip_chain.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_main_text": op7_main_text,
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": """

@@ -57,6 +57,7 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>",
     re.S,
 )
+_UNENDED = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -88,8 +89,8 @@ class Node:
 def parse(source: str) -> Node:
     """The tree of block elements. Inline elements only leave their text; text is still encoded."""
     root = top = Node("", None)
-    at = 0
-    size = len(source)
+    at, size = 0, source.rfind(">") + 1
+    rest, source = source[size:], source[:size]
     while at < size:
         tag = _TAG.search(source, at)
         if tag is None:
@@ -136,6 +137,7 @@ def parse(source: str) -> Node:
             top = node
         elif name == "hr":
             top.kids.append(Node("hr", top))
+    top.kids.append(_UNENDED.split(rest, maxsplit=1)[0])
     return root
 
 
