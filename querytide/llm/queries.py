@@ -14,6 +14,7 @@ from querytide.llm import (
     circulant_minhash,
     decision_list,
     decontaminate,
+    line_edit_join,
     relative_lempel_ziv,
     site_template,
     skip_chain,
@@ -52,6 +53,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edit_join.line_report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtracking_bpe.digests(
         backtracking_bpe.encode_and_decode(table(spark, sf_dir, "documents"), VOCABULARY)
@@ -88,6 +93,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_near_duplicates": op6_near_duplicates,
