@@ -1,30 +1,62 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, BPE encoding."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination, BPE encoding.
+
+Each stage gets what the one before it kept. Stages that change texts keep n_chars in step. A document whose lines all
+repeat earlier ones stays, with an empty text. ORACLE_SQL is None: the learned rules, the edit join, the similarity
+components and the token merges have no SQL; the tests compare run() with a brute-force version instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querytide.llm import backtracking_bpe, decontaminate
+from querytide.llm import backtracking_bpe, circulant_minhash, decision_list, decontaminate, line_edit_join
 from querytide.llm.common import table
 from querytide.llm.queries import VOCABULARY
+from querytide.session import stored
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go."""
+    return decision_list.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go."""
+    return _counted(line_edit_join.without_repeated_lines(docs))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return circulant_minhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut benchmark passages out of the texts; drop documents that consist of them."""
-    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+    """Benchmark passages are cut out; documents that mostly consist of them go."""
+    return _counted(decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark")))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text."""
+    """doc_id, ids and decoded text."""
     return backtracking_bpe.encode_and_decode(docs, VOCABULARY)
 
 
-STAGES = [("decontamination", decontamination), ("encoding", encoding)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("BPE encoding", encoding),
+]
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

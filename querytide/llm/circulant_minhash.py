@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.llm.common import Powers, WordHashes, as_bytes, lists, mixed, signed
+from querytide.llm.common import Powers, WordHashes, as_bytes, fresh, lists, mixed, signed
 from querytide.llm.components import components
 from querytide.session import stored
 
@@ -170,6 +170,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns are left out, so their names cannot clash. An empty table gives none."""
     text = F.col(text_col).alias("text")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text)
+    return _named(chosen).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that near_duplicates() keeps, with all columns of `docs`, in order."""
+    text = F.col(text_col).alias("text")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), text)
+    dropped = _named(chosen).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    id_, hash_ = fresh(docs.columns, "id_"), fresh(docs.columns, "hash_")
+    dropped = stored(dropped, "dropped").toDF(id_, hash_)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text_col) == F.col(hash_))
+    return docs.join(dropped, same, "left_anti")
+
+
+def _named(chosen: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept."""
     rows = stored(_signed(chosen), "signed")
     worded = rows.filter("n_shingles > 0")
 
@@ -198,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least.withColumn("root", F.coalesce("root", "node"))
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
     named = least.join(stored(names, "component-names"), "root").select("node", "component_id")
-    out = worded.join(named, "node").select("doc_id", "n_shingles", "component_id")
-    out = out.union(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    out = worded.join(named, "node").select("doc_id", "text_hash", "n_shingles", "component_id")
+    none = rows.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    out = out.union(none.select(out.columns))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
