@@ -11,7 +11,10 @@ from querytide.schema import MESSAGE, SEARCH_EVENT
 # Fixed value: largest fetch from the broker, in bytes.
 MAX_FETCH_BYTES = 10_000_000
 
-_CORRUPT = "_corrupt"
+_RAW = "_raw"
+_READ = T.StructType(
+    [T.StructField(f.name, T.VariantType() if f.name == "timestamp" else f.dataType) for f in SEARCH_EVENT.fields]
+)
 
 
 def kafka_options(brokers: list[str], topic: str, group: str | None = None, max_offsets: int | None = None) -> dict:
@@ -43,12 +46,6 @@ def read_message_files(spark: SparkSession, path: str, streaming: bool = True, f
     return reader.parquet(path)
 
 
-def _one_object(payload: Column) -> Column:
-    """True where the text begins and ends as an object does; Spark's reader also takes arrays and trailing text."""
-    bare = F.trim(payload, F.lit(" \t\r\n"))
-    return F.startswith(bare, F.lit("{")) & F.endswith(bare, F.lit("}"))
-
-
 def _wrong_types(payload: Column) -> Column:
     """True where a field holds another JSON type than its own, or a key is repeated."""
     parsed = F.try_parse_json(payload)
@@ -70,16 +67,20 @@ def parse(messages: DataFrame, strict: bool = False) -> DataFrame:
     repeated keys as well; it parses every payload twice.
     """
     payload = F.col("value").cast("string")
-    schema = T.StructType([*SEARCH_EVENT.fields, T.StructField(_CORRUPT, T.StringType())])
-    raw = F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    parsed = messages.withColumn("_raw", raw)
+    # Read as the only element of an array: anything but a single object then gives no element, or more than one. The
+    # timestamp keeps its JSON type. The generator holds the parsed payload, so that filters on it do not parse again.
+    read = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), T.ArrayType(_READ))
+    parsed = messages.select(*messages.columns, F.explode_outer(F.array(read)).alias(_RAW))
+    raw, given = F.get(_RAW, 0), F.schema_of_variant(F.get(_RAW, 0)["timestamp"])
 
     def text(name: str) -> Column:
-        return F.coalesce(F.col(f"_raw.{name}"), F.lit("")).alias(name)
+        return F.coalesce(raw[name], F.lit("")).alias(name)
 
-    timestamp = F.coalesce(F.col("_raw.timestamp"), F.lit(0).cast("bigint")).alias("timestamp")
-    unreadable = F.col("_raw").isNull() | F.col(f"_raw.{_CORRUPT}").isNotNull() | ~_one_object(payload)
-    bad = F.when(unreadable, "not_an_event")
+    whole = F.coalesce(given, F.lit("VOID")).isin("BIGINT", "VOID")
+    time = F.when(given == "BIGINT", F.try_variant_get(raw["timestamp"], "$", "bigint"))
+    timestamp = F.coalesce(time, F.lit(0).cast("bigint")).alias("timestamp")
+    single = F.coalesce((F.size(_RAW) == 1) & raw.isNotNull(), F.lit(False))
+    bad = F.when(~single | ~whole, "not_an_event")
     if strict:
         bad = bad.when(_wrong_types(payload), "wrong_type")
     bad = bad.when(timestamp < 0, "negative_timestamp")

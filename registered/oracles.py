@@ -87,6 +87,10 @@ payloads AS (
     WHEN 4 THEN '{"query":"half","timestamp":1.5}' WHEN 5 THEN 'null'
     WHEN 8 THEN '{"query":"before time","timestamp":-1}'
     WHEN 9 THEN to_json({query: query, user_id: user_id, ip: ip, timestamp: timestamp})::VARCHAR || ' and more'
+    WHEN 10 THEN repeat(to_json({query: query, user_id: user_id, ip: ip, timestamp: timestamp})::VARCHAR, 2)
+    WHEN 11 THEN concat_ws(' ', to_json({query: query, user_id: user_id, ip: ip, timestamp: timestamp})::VARCHAR,
+                           to_json({query: query, user_id: user_id, ip: ip, timestamp: timestamp})::VARCHAR)
+    WHEN 12 THEN '{"query":"a"},{"b":1}' WHEN 13 THEN '{"query":"a"}}'
     END AS value
   FROM searches
 )
@@ -97,22 +101,22 @@ _EDGES = "'^[\\s\\x{00a0}]+|[\\s\\x{00a0}]+$'"
 ORACLES = {
     "decode_events": f"""
 WITH {_SEARCHES}, {_DECODED}
-SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 4, 5, 8, 9)
+SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 4, 5, 8, 9, 10, 11, 12, 13)
 """,
     "decode_events_strict": f"""
 WITH {_SEARCHES}, {_DECODED}
-SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 3, 4, 5, 8, 9)
+SELECT * FROM decoded WHERE seq % 50 NOT IN (1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13)
 """,
     "quarantine_events": f"""
 WITH {_SEARCHES}, {_PAYLOADS}
 SELECT seq, value, CASE seq % 50 WHEN 8 THEN 'negative_timestamp' ELSE 'not_an_event' END AS bad_reason
-FROM payloads WHERE seq % 50 IN (1, 2, 4, 5, 8, 9)
+FROM payloads WHERE seq % 50 IN (1, 2, 4, 5, 8, 9, 10, 11, 12, 13)
 """,
     "quarantine_events_strict": f"""
 WITH {_SEARCHES}, {_PAYLOADS}
 SELECT seq, value, CASE WHEN seq % 50 = 8 THEN 'negative_timestamp' WHEN seq % 50 = 3 THEN 'wrong_type'
                         ELSE 'not_an_event' END AS bad_reason
-FROM payloads WHERE seq % 50 IN (1, 2, 3, 4, 5, 8, 9)
+FROM payloads WHERE seq % 50 IN (1, 2, 3, 4, 5, 8, 9, 10, 11, 12, 13)
 """,
     "encode_events": f"""
 WITH {_SEARCHES}

@@ -58,7 +58,7 @@ def as_of(events: DataFrame):
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, value): the events as JSON, with nine kinds of unusual payload among every fifty."""
+    """(seq, value): the events as JSON, with thirteen kinds of unusual payload among every fifty."""
     good = F.to_json(F.struct("query", "user_id", "ip", "timestamp"))
     kind = F.col("seq") % 50
     payload = (
@@ -71,6 +71,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 7, '{"query":null,"user_id":"u","ip":null,"timestamp":null}')
         .when(kind == 8, '{"query":"before time","timestamp":-1}')
         .when(kind == 9, F.concat(good, F.lit(" and more")))
+        .when(kind == 10, F.concat(good, good))
+        .when(kind == 11, F.concat(good, F.lit(" "), good))
+        .when(kind == 12, '{"query":"a"},{"b":1}')
+        .when(kind == 13, '{"query":"a"}}')
         .otherwise(good)
     )
     return search_events(spark, sf_dir).select("seq", payload.cast("binary").alias("value"))
