@@ -62,4 +62,4 @@ RATE_WINDOWS = T.StructType(
 )
 
 # Latest arrival that a stream has seen, in milliseconds.
-CLOCK = T.StructType([T.StructField("clock", T.LongType())])
+CLOCK = T.StructType([T.StructField("clock", T.LongType()), T.StructField("stop_version", T.LongType())])

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from querytide.session import no_rows
 
@@ -38,3 +39,13 @@ class SlottedTable:
         stamped = T.StructType([*self.schema.fields, T.StructField("batch_id", T.LongType())])
         rows = spark.read.schema(stamped).parquet(self._slot(batch_id))
         return rows.where(F.col("batch_id") == batch_id).drop("batch_id")
+
+    def latest_batch(self, spark: SparkSession) -> int | None:
+        """The latest batch that has written; none before the first."""
+        try:
+            rows = spark.read.schema("batch_id bigint").option("ignoreMissingFiles", "true").parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return rows.agg(F.max("batch_id")).first()[0]

@@ -36,8 +36,10 @@ def current_version(spark: SparkSession, path: str) -> int:
     return spark.read.schema(_LOG).parquet(f"{path}/log").agg(F.max("version")).first()[0]
 
 
-def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STOP_WORDS).parquet(f"{path}/words/version={current_version(spark, path)}")
+def read_stop_words(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The list of a version, the newest unless one is given."""
+    version = current_version(spark, path) if version is None else version
+    return spark.read.schema(STOP_WORDS).parquet(f"{path}/words/version={version}")
 
 
 def _commit(spark: SparkSession, path: str, words: DataFrame, version: int) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from dataclasses import dataclass, field
 
@@ -18,14 +19,21 @@ from querytide.settings import Settings
 from querytide.sources.messages import arrival_millis, parse
 from querytide.sources.published import latest_id, publish
 from querytide.sources.slots import SlottedTable
-from querytide.sources.stopwords import read_stop_words
+from querytide.sources.stopwords import current_version, read_stop_words
 
 MALFORMED = "malformed"
 
+_LOCKS: dict[str, threading.Lock] = {}
+
 # Messages are ordered by arrival; these tell messages of one arrival apart.
 _ORDER = ("partition", "offset")
 
 
+def _writing(path: str) -> threading.Lock:
+    """One publisher at a time: the stream and the ticker of a job run in one driver."""
+    return _LOCKS.setdefault(path, threading.Lock())
+
+
 @dataclass(frozen=True)
 class LiveJob:
     """One stream. Its state and results are tables under `path`; the stop list may be shared with other jobs.
@@ -79,11 +87,15 @@ class LiveJob:
             arrival = arrival_millis(F.col("timestamp"))
             first, latest, bad = parsed.agg(F.min(arrival), F.max(arrival), F.count("bad_reason")).first()
             before = self._clock.read(spark, batch_id - 1).agg(F.max("clock")).first()[0] or 0
-            first, clock = max(first or 0, before), max(latest or 0, before)
-            self._clock.write(spark.range(1).select(F.lit(clock).cast("bigint").alias("clock")), batch_id)
+            clock = max(latest or 0, before)
+            # A message without a broker time counts as arriving last; it must not move the clock to the epoch.
+            first = max(clock if first is None else first, before)
+            version = self._stop_version(spark, batch_id)
+            self._clock.write(spark.createDataFrame([(clock, version)], CLOCK), batch_id)
             if bad:
                 self._set_aside(parsed, batch_id)
-            counts = self._count(spark, parsed, batch_id, before, (first, clock), bad)
+            words = read_stop_words(spark, self.stop_words, version)
+            counts = self._count(spark, parsed, words, batch_id, before, (first, clock), bad)
             as_of = clock // 1000 if self.follow_arrivals else int(time.time())
             self._publish(spark, counts, batch_id, as_of)
         finally:
@@ -91,16 +103,38 @@ class LiveJob:
 
     def tick(self, spark: SparkSession, as_of: int) -> None:
         """Publish the list as of a later time, for when no messages arrive to cause a micro-batch."""
-        batch_id = latest_id(spark, self.top_path)
-        if batch_id is not None:
-            self._publish_top(self._live.read(spark, batch_id), batch_id, as_of)
+        with _writing(self.path):
+            batch_id = self._live.latest_batch(spark)
+            if batch_id is not None:
+                self._publish_top(self._live.read(spark, batch_id), as_of)
+
+    def start_ticker(self, spark: SparkSession) -> StreamingQuery:
+        """Publish anew at every tick, with or without messages; stop it together with the stream."""
+        beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        writer = beats.writeStream.foreachBatch(lambda rows, _: self.tick(rows.sparkSession, int(time.time())))
+        return writer.trigger(processingTime=f"{self.settings.tick} seconds").start()
+
+    def _stop_version(self, spark: SparkSession, batch_id: int) -> int:
+        """The stop list's version of a batch: the one it had when it ran first, or else the newest."""
+        newest = self._clock.latest_batch(spark)
+        known = None
+        if newest is not None and newest >= batch_id:
+            known = self._clock.read(spark, batch_id).agg(F.max("stop_version")).first()[0]
+        return current_version(spark, self.stop_words) if known is None else known
 
     def _set_aside(self, parsed: DataFrame, batch_id: int) -> None:
         bad = parsed.where(F.col("bad_reason").isNotNull()).select("value", "bad_reason", *_ORDER)
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
 
     def _count(
-        self, spark: SparkSession, parsed: DataFrame, batch_id: int, clock: int, arrivals: tuple[int, int], bad: int
+        self,
+        spark: SparkSession,
+        parsed: DataFrame,
+        words: DataFrame,
+        batch_id: int,
+        clock: int,
+        arrivals: tuple[int, int],
+        bad: int,
     ) -> DataFrame:
         """Counts per (drop_reason, bucket, query).
 
@@ -109,7 +143,8 @@ class LiveJob:
         """
         limit, ttl = self.settings.rate_limit, self.settings.rate_ttl * 1000
         # The consumer's clock never runs backwards.
-        arrival = F.greatest(arrival_millis(F.col("timestamp")), F.lit(clock).cast("bigint"))
+        known = F.coalesce(arrival_millis(F.col("timestamp")), F.lit(arrivals[1]).cast("bigint"))
+        arrival = F.greatest(known, F.lit(clock).cast("bigint"))
         events = parsed.where(F.col("bad_reason").isNull()).select("event.*", arrival.alias("arrival"), *_ORDER)
 
         # A window that is still open continues as a tick at its anchor.
@@ -127,8 +162,7 @@ class LiveJob:
         labelled = label(events, windows, limit, ttl, _ORDER).select(
             F.when(~F.col("rate_ok"), ANTIFRAUD).alias("drop_reason"), "timestamp", "query"
         )
-        # The stop list is read here, once: the whole batch sees one version of it.
-        counts = reason_counts(labelled, read_stop_words(spark, self.stop_words), self.settings.bucket)
+        counts = reason_counts(labelled, words, self.settings.bucket)
         if bad:
             counts = counts.unionByName(
                 spark.range(1).select(
@@ -146,8 +180,11 @@ class LiveJob:
         added = counts.where(F.col("drop_reason").isNull()).drop("drop_reason")
         rows = self._live.read(spark, batch_id - 1).unionByName(added)
         merged = live(rows, as_of, self.settings.window).groupBy("bucket_start", "query")
-        self._publish_top(self._live.write(merged.agg(F.sum("count").alias("count")), batch_id), batch_id, as_of)
+        with _writing(self.path):
+            self._publish_top(self._live.write(merged.agg(F.sum("count").alias("count")), batch_id), as_of)
 
-    def _publish_top(self, counts: DataFrame, batch_id: int, as_of: int) -> None:
+    def _publish_top(self, counts: DataFrame, as_of: int) -> None:
+        """Publish under an id above all others, so that the newest snapshot is never written over."""
         top = top_of_counts(counts, self.settings, as_of)
-        publish(top, self.top_path, batch_id, F.timestamp_seconds(F.lit(as_of)))
+        newest = latest_id(counts.sparkSession, self.top_path)
+        publish(top, self.top_path, 0 if newest is None else newest + 1, F.timestamp_seconds(F.lit(as_of)))

@@ -1,25 +1,54 @@
-"""Bucket and window counts with Spark's own event-time windows, for closed windows.
+"""Counts of closed buckets and windows from a stream, with no event lost however the input is cut into batches.
 
-These emit a window once the watermark has passed it. For a list that is current at every tick see `live`.
+Every micro-batch adds its counts per bucket to a table, and its latest event time to another. What is closed is decided
+when the counts are read: a bucket or window is closed when the latest event time, less `lateness`, has passed its end.
+An event later than that still counts the next time the table is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from querytide.functions.times import bucket_start
 
-def stream_bucket_counts(events: DataFrame, bucket: int, lateness: int, time: str = "timestamp") -> DataFrame:
-    """Counts per tumbling bucket. Events later than `lateness` seconds are dropped."""
-    timed = events.withColumn("event_time", F.timestamp_seconds(F.col(time)))
-    return (
-        timed.withWatermark("event_time", f"{lateness} seconds")
-        .groupBy(F.window("event_time", f"{bucket} seconds").alias("bucket"), "query")
-        .agg(F.count("*").alias("count"))
-    )
+COUNTS = "bucket_start bigint, query string, count bigint, latest bigint, batch_id bigint"
 
 
-def stream_window_counts(buckets: DataFrame, window: int, bucket: int) -> DataFrame:
-    """Counts per sliding window, summed from the bucket counts."""
-    sliding = F.window(F.window_time("bucket"), f"{window} seconds", f"{bucket} seconds")
-    return buckets.groupBy(sliding.alias("window"), "query").agg(F.sum("count").alias("count"))
+def add_bucket_counts(events: DataFrame, path: str, bucket: int, time: str = "timestamp", **trigger) -> StreamingQuery:
+    """Start a stream that adds the counts of `events` to the table in `path`.
+
+    A batch is one folder of the table; repeating a batch overwrites its own."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy(bucket_start(F.col(time), bucket).alias("bucket_start"), "query")
+        counted = counted.agg(F.count("*").alias("count"), F.max(time).alias("latest"))
+        counted.write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}")
+
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/checkpoint")
+    return writer.trigger(**trigger).start()
+
+
+def _counted(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(COUNTS).parquet(f"{path}/counts")
+
+
+def _closed_upto(spark: SparkSession, path: str, lateness: int):
+    return _counted(spark, path).agg(F.max("latest") - lateness).scalar()
+
+
+def closed_buckets(spark: SparkSession, path: str, bucket: int, lateness: int) -> DataFrame:
+    """(bucket_start, query, count) of the closed buckets."""
+    closed = F.col("bucket_start") + bucket <= _closed_upto(spark, path, lateness)
+    return _counted(spark, path).where(closed).groupBy("bucket_start", "query").agg(F.sum("count").alias("count"))
+
+
+def closed_windows(spark: SparkSession, path: str, window: int, bucket: int, lateness: int) -> DataFrame:
+    """(window_end, query, count) of the closed sliding windows, which end with every bucket."""
+    first = F.col("bucket_start") + bucket
+    ends = F.sequence(first, first + (window - bucket), F.lit(bucket).cast("bigint"))
+    counts = _counted(spark, path).groupBy("bucket_start", "query").agg(F.sum("count").alias("count"))
+    slid = counts.select(F.explode(ends).alias("window_end"), "query", "count")
+    closed = slid.where(F.col("window_end") <= _closed_upto(spark, path, lateness))
+    return closed.groupBy("window_end", "query").agg(F.sum("count").alias("count"))

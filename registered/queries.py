@@ -15,13 +15,12 @@ from querytide.operators.chain import chain, kept, rate_filter, standard_chain,
 from querytide.operators.ratelimit import with_rate_verdict
 from querytide.operators.ring import ring_snapshot
 from querytide.plans.trending import filtered_counts, top_of_counts, trending
-from querytide.schema import MESSAGE
 from querytide.session import shared_folder
 from querytide.sources import messages as message_source
 from querytide.sources.published import envelope_json, publish, top_queries
 from querytide.sources.stopwords import create_stop_words, words_table
 from querytide.streaming.live import LiveJob
-from querytide.streaming.windows import stream_bucket_counts, stream_window_counts
+from querytide.streaming.windows import add_bucket_counts, closed_buckets, closed_windows
 from registered.views import (
     DAY,
     HOUR,
@@ -34,6 +33,9 @@ from registered.views import (
     table,
 )
 
+#: Micro-batches of the closed counts.
+BATCHES = 60
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -295,29 +297,22 @@ def stream_drop_counts(spark, sf_dir):
     return counts.drop_counts(written, F.col("count"))
 
 
-def _stream_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-    writer.outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/out")
-
-
-def _event_stream(spark, sf_dir, folder: str) -> DataFrame:
-    path = f"{folder}/messages"
-    kafka_messages(spark, sf_dir).write.parquet(path)
-    return message_source.decode(spark.readStream.schema(MESSAGE).parquet(path))
+def _closed_counts(spark, sf_dir) -> str:
+    """The messages in 60 files by arrival, each a micro-batch, counted into a table."""
+    folder = f"{shared_folder(spark)}/closed-{uuid.uuid4().hex}"
+    source = kafka_messages(spark, sf_dir)
+    source.repartitionByRange(BATCHES, "timestamp").write.parquet(f"{folder}/messages")
+    stream = message_source.read_message_files(spark, f"{folder}/messages", files_per_trigger=1)
+    add_bucket_counts(message_source.decode(stream), folder, HOUR, availableNow=True).awaitTermination()
+    return folder
 
 
 def stream_closed_buckets(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}"
-    closed = _stream_to_table(stream_bucket_counts(_event_stream(spark, sf_dir, folder), HOUR, DAY), folder)
-    return closed.select(F.unix_seconds("bucket.start").alias("bucket_start"), "query", "count")
+    return closed_buckets(spark, _closed_counts(spark, sf_dir), HOUR, DAY)
 
 
 def stream_closed_windows(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
-    buckets = stream_bucket_counts(_event_stream(spark, sf_dir, folder), HOUR, DAY)
-    closed = _stream_to_table(stream_window_counts(buckets, DAY, HOUR), folder)
-    return closed.select(F.unix_seconds("window.end").alias("window_end"), "query", "count")
+    return closed_windows(spark, _closed_counts(spark, sf_dir), DAY, HOUR, DAY)
 
 
 QUERIES: dict[str, Query] = {

@@ -14,6 +14,7 @@ from querytide.sources.messages import encode, read_message_files
 from querytide.sources.published import latest, published_top
 from querytide.sources.stopwords import add_stop_words, create_stop_words, words_table
 from querytide.streaming.live import LiveJob
+from querytide.streaming.windows import add_bucket_counts, closed_buckets, closed_windows
 
 SETTINGS = Settings(rate_limit=3, rate_ttl=10, bucket=5, window=60, top_limit=5)
 START = 1_700_000_000
@@ -90,6 +91,63 @@ def test_stop_list_edit_applies_to_the_next_batch(spark, folder):
     assert {tuple(r) for r in published_top(spark, job.top_path).collect()} == {("go", 1), ("rust", 2)}
 
 
+def test_repeated_batch_keeps_its_stop_list_and_its_snapshot(spark, folder):
+    job = LiveJob(f"{folder}/job", f"{folder}/stop", SETTINGS, follow_arrivals=True)
+    create_stop_words(spark, job.stop_words, words_table(spark, []))
+    batch = messages(spark, [(0, 0, "a", "go", START), (1, 0, "b", "rust", START)])
+    job.process(batch, 0)
+    add_stop_words(spark, job.stop_words, words_table(spark, ["GO"]))
+    job.process(batch, 0)
+    assert {tuple(r) for r in published_top(spark, job.top_path).collect()} == {("go", 1), ("rust", 1)}
+    job.tick(spark, START + 1)
+    ids = [r[0] for r in spark.read.parquet(job.top_path).select("snapshot_id").collect()]
+    assert sorted(ids) == [0, 1, 2]  # the newest snapshot is never written over
+
+
+def test_message_without_a_broker_time(spark, folder):
+    job = LiveJob(f"{folder}/job", f"{folder}/stop", SETTINGS, follow_arrivals=True)
+    create_stop_words(spark, job.stop_words, words_table(spark, []))
+    batch = messages(spark, [(k, 0, "a", f"q{k}", START) for k in range(9)])
+    batch = batch.withColumn("timestamp", F.when(F.col("offset") > 0, F.col("timestamp")))
+    job.process(batch, 0)
+    assert sum(r["count"] for r in published_top(spark, job.top_path).collect()) == SETTINGS.rate_limit
+    counted = {r["drop_reason"]: r["count"] for r in spark.read.parquet(job.counts_path).collect()}
+    assert counted["antifraud"] == 9 - SETTINGS.rate_limit
+
+
+def test_list_empties_when_traffic_stops(spark, folder):
+    job = LiveJob(f"{folder}/job", f"{folder}/stop", Settings(bucket=1, window=4, tick=1, top_limit=5))
+    create_stop_words(spark, job.stop_words, words_table(spark, []))
+    now = int(dt.datetime.now().timestamp())
+    job.process(messages(spark, [(0, now - START, "a", "go", now + 8)]), 0)
+    assert [tuple(r) for r in published_top(spark, job.top_path).collect()] == [("go", 1)]
+    ticker = job.start_ticker(spark)
+    try:
+        for _ in range(120):
+            ticker.awaitTermination(1)
+            if not published_top(spark, job.top_path).collect():
+                break
+        assert published_top(spark, job.top_path).collect() == []
+    finally:
+        ticker.stop()
+
+
+def test_closed_counts_do_not_depend_on_the_batches(spark, folder):
+    rows = [(START + k * 7 % 400 - (90 if k % 10 == 0 else 0), f"q{k % 5}") for k in range(300)]
+    events = spark.createDataFrame(rows, "timestamp bigint, query string")
+    events.repartition(12).write.parquet(f"{folder}/in")
+    found = []
+    for files in (1, 100):
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+        path = f"{folder}/out{files}"
+        add_bucket_counts(stream, path, 5, availableNow=True).awaitTermination()
+        buckets, windows = closed_buckets(spark, path, 5, 30), closed_windows(spark, path, 20, 5, 30)
+        found.append([sorted(map(tuple, t.collect())) for t in (buckets, windows)])
+    assert found[0] == found[1]
+    last = max(t for t, _ in rows) - 30
+    assert sum(r[2] for r in found[0][0]) == sum(t // 5 * 5 + 5 <= last for t, _ in rows)
+
+
 def test_rate_window_spans_batches_and_clock_never_runs_back(spark, folder):
     job = LiveJob(f"{folder}/job", f"{folder}/stop", SETTINGS, follow_arrivals=True)
     create_stop_words(spark, job.stop_words, words_table(spark, []))
