@@ -10,13 +10,13 @@ from querytide.functions.text import contains_any, normalise_word
 from querytide.functions.times import as_column
 from querytide.session import stored
 
-# Word lists up to this size are written into the filter expression; longer ones are joined. Measured on 400,000 short
-# texts the two ways cost the same at about 400 words, on 10,000 documents at about 1,200.
-MAX_INLINE_WORDS = 500
+# Word lists up to this many bytes are written into the filter expression; longer ones are joined.
+MAX_INLINE_BYTES = 4_000
 # Length of the pieces a text is cut into before its substrings are listed.
 _PIECE = 256
-# How many characters of a word are looked up first, at most.
-_MAX_BEGINNING = 16
+# Shortest words of the length classes; a class looks up this many characters.
+_CLASSES = (1, 2, 3, 5, 12)
+_HASH = "_text_hash"
 
 
 def normalise(words: DataFrame) -> DataFrame:
@@ -50,56 +50,56 @@ def with_stop_verdict(
     words: DataFrame,
     text: str = "query",
     verdict: str = "stop_ok",
-    max_inline: int = MAX_INLINE_WORDS,
+    max_inline: int = MAX_INLINE_BYTES,
 ) -> DataFrame:
     """Add a boolean column: false where the text contains a stop word anywhere, also inside a longer word.
 
-    `words` must be normalised. Its size decides the way: a short list is read once and becomes part of the
-    expression, a longer one stays a table and is joined.
+    `words` must be normalised. A list of at most `max_inline` bytes is read once and becomes part of the expression,
+    a longer one stays a table and is joined; the verdicts are the same.
     """
-    short = words.limit(max_inline + 1).collect()
-    if len(short) <= max_inline:
-        return rows.withColumn(verdict, stop_predicate(F.col(text), [row.word for row in short]))
-    hits = stored(texts_with_words(rows, words, text), "stop-hits").select(
-        F.col(text).alias("_hit"), F.lit(False).alias(verdict)
-    )
-    joined = rows.join(hits, F.col(text) == F.col("_hit"), "left").drop("_hit")
+    if (words.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= max_inline:
+        return rows.withColumn(verdict, stop_predicate(F.col(text), [row.word for row in words.collect()]))
+    hits = stored(texts_with_words(rows, words, text), "stop-hits").select(_HASH, F.lit(False).alias(verdict))
+    joined = rows.withColumn(_HASH, F.xxhash64(F.lower(text))).join(hits, _HASH, "left").drop(_HASH)
     return joined.withColumn(verdict, F.coalesce(F.col(verdict), F.lit(True)))
 
 
 def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") -> DataFrame:
-    """Distinct texts that contain a word of a list of any length.
+    """Hashes of the lower-cased texts that contain a word of a list of any length.
 
-    Words are looked up by equality joins: first every position of a text by the few characters that begin there, which
-    some word must begin with; then, at the positions that are left, the substring of every word length. The cost per
-    text depends on its length and hardly on the number of words. Texts are cut into overlapping pieces first, which
-    keeps positions short; the overlap is one character less than the longest word, so no occurrence is cut in two.
+    Words are looked up by equality joins, the shortest first: words of up to _CLASSES[0] characters by themselves at
+    every position of a text; longer ones, in classes by length, by the characters they begin with, and only in texts
+    without a hit so far. Where a word begins as the text goes on, the text is fetched by its hash and compared with the
+    whole word. So a position costs a hash, a number and a few characters, and no text is shuffled by position.
     """
-    words = words.where(F.col("word") != "")
-    size = F.char_length("word")
-    shortest = words.agg(F.least(F.min(size), F.lit(_MAX_BEGINNING))).scalar()
-    longest = words.agg(F.max(size)).scalar()
-    lengths = words.agg(F.collect_set(size)).scalar()
-    beginnings = words.select(F.substr("word", F.lit(1), shortest).alias("_beginning")).distinct()
-
-    texts = rows.select(text).distinct().withColumn("_lower", F.lower(text))
-    starts = F.sequence(as_column(0), F.greatest(F.char_length("_lower") - 1, F.lit(0)), as_column(_PIECE))
-    pieces = texts.select(text, "_lower", F.explode(starts).alias("_start")).select(
-        text, F.substr("_lower", F.col("_start") + 1, longest + (_PIECE - 1)).alias("_piece")
-    )
-    positions = F.sequence(F.lit(1), F.least(F.char_length("_piece"), F.lit(_PIECE)))
-    possible = (
-        pieces.where(F.char_length("_piece") >= shortest)
-        .select(text, "_piece", F.explode(positions).alias("_at"))
-        .withColumn("_beginning", F.substr("_piece", "_at", shortest))
-        .join(beginnings, "_beginning", "left_semi")
+    words = words.where(F.col("word") != "").select("word", F.char_length("word").alias("_size"))
+    texts = rows.select(F.lower(text).alias("_lower")).where("_lower IS NOT NULL").distinct()
+    texts = stored(texts.select(F.xxhash64("_lower").alias(_HASH), "_lower"), "stop-texts")
+    found = None
+    for shortest, longest in zip(_CLASSES, [*_CLASSES[1:], None], strict=True):
+        size = F.col("_size")
+        group = words.where(size >= shortest if longest is None else (size >= shortest) & (size < longest))
+        beginnings = group.select("word", F.substr("word", F.lit(1), F.lit(shortest)).alias("_beginning"))
+        left = texts if found is None else texts.join(found, _HASH, "left_anti")
+        places = _places(left, shortest).join(beginnings.select("_beginning").distinct(), "_beginning", "left_semi")
+        possible = places.join(beginnings, "_beginning").select(_HASH, "_at", "word")
+        whole = F.substr("_lower", "_at", F.char_length("word")) == F.col("word")
+        hits = left.join(possible, _HASH).where(whole).select(_HASH).distinct()
+        found = stored(hits if found is None else found.union(hits), "stop-found")
+    return found
+
+
+def _places(texts: DataFrame, size: int) -> DataFrame:
+    """Each position of a text with the `size` characters from there, cut piece by piece to keep substrings short."""
+    last = F.greatest(F.char_length("_lower") - size, as_column(-1)) + 1
+    starts = F.sequence(as_column(0), F.greatest(last - 1, as_column(0)), as_column(_PIECE))
+    pieces = texts.select(_HASH, F.explode(starts).alias("_start"), "_lower").select(
+        _HASH, "_start", F.substr("_lower", F.col("_start") + 1, as_column(_PIECE + size - 1)).alias("_piece")
     )
-    return (
-        possible.select(text, F.substr("_piece", "_at", longest).alias("_rest"))
-        .select(text, "_rest", F.explode(lengths).alias("_length"))
-        .where(F.char_length("_rest") >= F.col("_length"))
-        .select(text, F.substr("_rest", F.lit(1), F.col("_length")).alias("word"))
-        .join(words, "word", "left_semi")
-        .select(text)
-        .distinct()
+    pieces = pieces.where(F.char_length("_piece") >= size)
+    offsets = F.sequence(as_column(1), F.least(F.char_length("_piece") - (size - 1), as_column(_PIECE)))
+    return pieces.select(_HASH, "_start", "_piece", F.explode(offsets).alias("_offset")).select(
+        _HASH,
+        (F.col("_start") + F.col("_offset")).alias("_at"),
+        F.substr("_piece", "_offset", F.lit(size)).alias("_beginning"),
     )

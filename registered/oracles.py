@@ -143,10 +143,18 @@ FROM documents
     "stoplist_conversations": """
 WITH words AS (
   SELECT DISTINCT lower(word) AS word
-  FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM benchmark) WHERE length(word) >= 9
+  FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM benchmark) WHERE word <> ''
 )
 SELECT conv_id, turn, NOT EXISTS (SELECT 1 FROM words WHERE contains(lower(text), word)) AS stop_ok
 FROM conversations
+""",
+    "stoplist_documents_words": """
+WITH words AS (
+  SELECT DISTINCT lower(word) AS word
+  FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS word FROM benchmark) WHERE word <> ''
+)
+SELECT doc_id, NOT EXISTS (SELECT 1 FROM words WHERE contains(lower(text), word)) AS stop_ok
+FROM documents
 """,
     "antifraud_verdicts": f"""
 WITH RECURSIVE {_SEARCHES}, {_rate('searches', 86400, 3)} SELECT seq, rate_ok FROM rated

@@ -126,10 +126,17 @@ def stoplist_documents(spark, sf_dir):
     return stoplist.with_stop_verdict(documents, words, text="text").select("doc_id", "stop_ok")
 
 
+def stoplist_documents_words(spark, sf_dir):
+    """Whole documents against the words of all passages, joined."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("word"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return stoplist.with_stop_verdict(documents, stoplist.normalise(words), text="text", max_inline=0).select("doc_id", "stop_ok")
+
+
 def stoplist_conversations(spark, sf_dir):
     """Whole turns against the words of all passages: a list that is joined, not written into the plan."""
     tokens = F.explode(F.split("text", r"\s+"))
-    words = table(spark, sf_dir, "benchmark").select(tokens.alias("word")).where(F.char_length("word") >= 9)
+    words = table(spark, sf_dir, "benchmark").select(tokens.alias("word"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     verdicts = stoplist.with_stop_verdict(turns, stoplist.normalise(words), text="text", max_inline=0)
     return verdicts.select("conv_id", "turn", "stop_ok")
@@ -329,6 +336,7 @@ QUERIES: dict[str, Query] = {
         stopwords_deleted,
         stoplist_pass,
         stoplist_documents,
+        stoplist_documents_words,
         stoplist_conversations,
         antifraud_verdicts,
         antifraud_coarse_clock,
