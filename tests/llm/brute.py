@@ -34,7 +34,7 @@ def edits(a, b):
     return row[-1]
 
 
-def repeated_lines(docs, distance, min_chars):
+def repeated_lines(docs, distance, min_chars, measure=lambda a, b, limit: edits(a, b)):
     """{id: numbers of the lines that repeat an earlier one}, for documents with an id."""
     lines = [(i, k, x.strip(" \t\r\x0b\x0c")) for i, t in docs if i is not None for k, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(x[2]) >= min_chars]
@@ -47,7 +47,7 @@ def repeated_lines(docs, distance, min_chars):
         for b in texts[n + 1 :]:
             if len(b) - len(a) > distance:
                 break
-            if edits(a, b) <= distance:
+            if measure(a, b, distance) <= distance:
                 best[a], best[b] = min(best[a], first[b]), min(best[b], first[a])
     out = collections.defaultdict(list)
     for i, k, x in lines:

@@ -15,7 +15,7 @@ def test_pipeline_equals_the_plain_version(spark):
     # The learned rules have no plain version: their verdict is taken from the query, the base rules are not.
     kept = {r["doc_id"] for r in QUERIES["op2_quality_rules"](spark, TABLES).filter("rule = 0").collect()}
     docs = [(i, t) for i, t in docs if i in kept and not quality_counts(t)[5]]
-    lines = repeated_lines(docs, line_edit_join.DISTANCE, line_edit_join.MIN_CHARS)
+    lines = repeated_lines(docs, line_edit_join.DISTANCE, line_edit_join.MIN_CHARS, line_edit_join.edit_distance)
     docs = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lines.get(i, ()))) for i, t in docs]
     docs = [d for d, (_, c) in zip(docs, near_duplicates(docs), strict=True) if d[0] == c]
     clean = []
