@@ -133,6 +133,13 @@ SELECT lower(p_name) AS word FROM part WHERE p_size <= 10 UNION SELECT lower(p_t
 """,
     "stopwords_deleted": """
 SELECT p_name AS word FROM part EXCEPT SELECT p_name FROM part WHERE starts_with(p_name, 'red ') OR p_size = 1
+""",
+    "stopwords_unknown_deleted": "SELECT DISTINCT p_name AS word FROM part",
+    "stoplist_empty": f"WITH {_SEARCHES} SELECT seq, query FROM searches",
+    "top_words_of_documents": """
+WITH words AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS query FROM documents)
+SELECT query, count(*) AS count FROM words WHERE regexp_matches(query, '[^\\x00-\\x7F]')
+GROUP BY query ORDER BY count DESC, query LIMIT 1000
 """,
     "stoplist_pass": f"WITH {_SEARCHES} SELECT seq, query FROM searches WHERE NOT {_STOPPED}",
     "stoplist_documents": f"""

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querytide.errors import WordsNotFoundError
 from querytide.functions.text import normalise_word
 from querytide.functions.times import bucket_start, rfc3339, slot
 from querytide.operators import counts, ranking, sliding, stoplist
@@ -114,6 +115,30 @@ def stopwords_deleted(spark, sf_dir):
     return stoplist.delete_words(current, unwanted.select(F.upper("p_name").alias("word")))
 
 
+def stopwords_unknown_deleted(spark, sf_dir):
+    """The list after a refused edit: none of the words to delete was listed."""
+    part = table(spark, sf_dir, "part")
+    current = stoplist.normalise(part.select(F.col("p_name").alias("word")))
+    try:
+        return stoplist.delete_words(current, part.select(F.concat(F.lit("no "), "p_name").alias("word")))
+    except WordsNotFoundError:
+        return current
+
+
+def stoplist_empty(spark, sf_dir):
+    """An empty stop list lets every event pass."""
+    events = search_events(spark, sf_dir).select("seq", "query")
+    words = stoplist.normalise(words_table(spark, ["  ", ""]))
+    return stoplist.with_stop_verdict(events, words).where("stop_ok").drop("stop_ok")
+
+
+def top_words_of_documents(spark, sf_dir):
+    """The most frequent words of all documents, lower-cased; many are not ASCII, and ties are in text order."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("query"))
+    counted = words.where(F.col("query").rlike("[^\\x00-\\x7F]")).groupBy("query").agg(F.count("*").alias("count"))
+    return ranking.top_k(counted, 1000)
+
+
 def stoplist_pass(spark, sf_dir):
     events = search_events(spark, sf_dir).select("seq", "query")
     return stoplist.with_stop_verdict(events, _words(spark)).where("stop_ok").drop("stop_ok")
@@ -334,6 +359,9 @@ QUERIES: dict[str, Query] = {
         stopwords_normalised,
         stopwords_added,
         stopwords_deleted,
+        stopwords_unknown_deleted,
+        stoplist_empty,
+        top_words_of_documents,
         stoplist_pass,
         stoplist_documents,
         stoplist_documents_words,
