@@ -4,9 +4,10 @@ Two permutations give all coordinates of a signature: the first spreads a shingl
 whose circular shift by k is the permutation of coordinate k. A shingle's values in all coordinates therefore lie side by
 side in the table, and a signature is the minimum of such rows.
 
-Documents with the same shingle set are one node. Nodes that agree on a band meet in a bucket. First every node of a
-bucket is compared with the bucket's smallest node; links found so join almost all of a large group, with as many pairs
-as nodes. Then, in buckets whose nodes are still in several components, the nodes outside the main one are compared with
+Documents with the same shingle set are one node. Nodes that agree on a band meet in a bucket, whose hub is its smallest
+node. First every node is compared with the smallest hub of its buckets: in a large group that is nearly always the same
+one, so one pair a node joins almost all of it. Nodes and hubs that are still apart are compared next.
+Then, in buckets whose nodes are still in several components, the nodes outside the main one are compared with
 all nodes of other components. So every pair of a bucket is either compared or already joined, and no group is expanded
 into all its pairs. Pairs are dropped early if their sizes or 384 signature bits rule out the similarity (a miss needs a
 deviation of six standard errors); the others are compared by their full sets.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from querytide.llm.common import Powers, WordHashes, as_bytes, fresh, lists, mixed, signed
 from querytide.llm.components import components
-from querytide.session import stored
+from querytide.session import no_rows, stored
 
 #: Words of a shingle; similarity in percent that links two documents.
 SHINGLE, PERCENT = 5, 75
@@ -136,14 +137,28 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(similar).select("a", "b")
 
 
-def _with_hubs(members: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Each node of a bucket paired with the bucket's smallest."""
-    pairs = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+def _plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link by size and signature bits."""
     pairs = pairs.join(signatures.withColumnsRenamed({"node": "a", "s": "sa"}), "a")
     pairs = pairs.join(signatures.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
     return pairs.filter(_may_link("sa", "sb")).select("a", "b")
 
 
+def _with_hubs(members: DataFrame, roots: DataFrame, choose: str) -> DataFrame:
+    """Nodes with hubs of their buckets that are still in another component: the smallest such hub of each node ("min"),
+    or all."""
+    of_node, of_hub = (roots.toDF(c, f"{c}_root") for c in ("node", "hub"))
+    now = members.select("node", "hub").join(of_node, "node", "left").join(of_hub, "hub", "left")
+    apart = now.filter(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub"))
+    if choose == "all":
+        return apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    return apart.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    return roots if links.isEmpty() else components(roots.union(links))
+
+
 def _across(members: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
     """In buckets of several components: the nodes outside the main one, paired with all of other components."""
     label = F.coalesce("b", "node").alias("label")
@@ -186,6 +201,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def _named(chosen: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id, kept."""
+    spark = chosen.sparkSession
     rows = stored(_signed(chosen), "signed")
     worded = rows.filter("n_shingles > 0")
 
@@ -205,10 +221,12 @@ def _named(chosen: DataFrame) -> DataFrame:
     found = chosen.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     sets = stored(_sets(found.select("node", "text").dropDuplicates(["node"])), "sets")
 
-    links = stored(_verified(_with_hubs(members, signatures), sets), "hub-links")
-    roots = components(links)
-    more = stored(_verified(_across(members, roots, signatures), sets), "cross-links")
-    roots = components(roots.union(more)).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = no_rows(spark, sets.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
+    for choose in ("min", "all"):
+        pairs = _plausible(_with_hubs(members, roots, choose), signatures)
+        roots = _joined(roots, stored(_verified(pairs, sets), "hub-links"))
+    roots = _joined(roots, stored(_verified(_across(members, roots, signatures), sets), "cross-links"))
+    roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     least = least.withColumn("root", F.coalesce("root", "node"))

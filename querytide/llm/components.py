@@ -13,19 +13,21 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _is_done(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one link, and that to a root."""
+    again = edges.groupBy("a").count().filter("count > 1").select("a")
+    nested = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return again.union(nested).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): each node but the smallest of a component, and the smallest node of its component.
 
     Each round links the larger neighbours of a node to its smallest one, then a node and its smaller neighbours to the
-    smallest of them; it ends when nothing changes. Minima are combined before the shuffle, and the joins are plain
-    equality joins, so a node with very many links is split by AQE. Each round is a written table."""
+    smallest of them, until all links lead to roots. Minima are combined before the shuffle and written before they are
+    joined, so that AQE can split the links of a node that has very many. Each round is a table."""
     edges = stored(_oriented(edges), "links")
-    mark = _mark(edges)
-    while mark[0]:
+    while not _is_done(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         low = stored(low, "lowest")
@@ -33,9 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(_oriented(large), "large-star")
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = stored(_oriented(small.union(low.select("a", F.col("m").alias("b")))), "links")
-        new = _mark(after)
-        if new == mark:
-            return after
-        edges, mark = after, new
+        edges = stored(_oriented(small.union(low.select("a", F.col("m").alias("b")))), "links")
     return edges
