@@ -3,12 +3,12 @@
 Two lines within DISTANCE edits share, unchanged and almost in place, one of the DISTANCE + 1 segments that either is
 cut into (pigeonhole). Each distinct line is stored under its segments, keyed by its length, the segment's number and
 text, and looks up, for its own length and each smaller one within reach, the substrings of its own that can be such a
-segment: only those few start places that leave room for the edits on both sides. Lines that meet are compared by a
-bit-parallel edit distance that gives up beyond DISTANCE.
+segment: only those few start places that leave room for the edits on both sides. Lines that meet, and whose numbers of
+some letters allow it, are compared by a bit-parallel edit distance that gives up beyond DISTANCE.
 
-Equal lines are one row before the join. Keys that only one line has are dropped before anything is paired. A key that
-very many lines share (a family of numbered lines, say) is cut into blocks of lines, and blocks are paired, so no task
-holds a key's lines at once; pairs beyond the distance are never written.
+Equal lines are one row before the join. A key that very many lines share (a family of numbered lines, say) is cut into
+blocks of lines, and blocks are paired, so no task holds a key's lines at once; a block gives each line its earliest near
+line, and no pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from querytide.session import stored
 
 #: Edits within which two lines count as the same, and the shortest line (code points) that is looked at.
 DISTANCE, MIN_CHARS = 2, 24
-#: Lines of a block; keys of more lines are cut into blocks.
-BLOCK = 256
+#: Keys of more lines than HOT are not paired by a join but in blocks of BLOCK lines.
+HOT, BLOCK = 256, 256
+#: Letters whose numbers are compared before two lines are paired (frequent ones of several languages).
+COUNTED = "etaonisr"
 #: Pairs up to which the numbers of their lines are broadcast (16 bytes a pair).
 MAX_SENT = 500_000
 
@@ -107,16 +109,37 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select("row", place.cast("decimal(38,0)").alias("place"), "number", F.xxhash64("line").alias("id"), "line")
 
 
+def _bag(line: Column) -> Column:
+    """How often the line has each of the COUNTED letters, up to 255 each, in one number."""
+    counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)) for c in COUNTED]
+    out = F.lit(0).cast("long")
+    for k, count in enumerate(counts):
+        out = out.bitwiseOR(F.shiftleft(count.cast("long"), 8 * k))
+    return out
+
+
+def _alike(a: str, b: str, distance: int) -> Column:
+    """Whether the letters' numbers allow the distance: an edit changes them by two at most."""
+
+    def part(bag: str, k: int) -> Column:
+        return F.shiftrightunsigned(bag, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+
+    apart = [F.abs(part(a, k) - part(b, k)) for k in range(len(COUNTED))]
+    return sum(apart[1:], apart[0]) <= 2 * distance
+
+
 def _near(lines: DataFrame, distance: int) -> DataFrame:
     """id and place: for each line with others within the distance, the earliest place of those."""
     line, length = F.col("line"), F.length("line")
     own_keys, probe_keys = _own_keys(line, length, distance), _probe_keys(line, length, distance)
-    own = lines.select("id", F.explode(F.array(*own_keys)).alias("key"))
-    every = lines.select("id", F.explode(F.array(*own_keys, *probe_keys)).alias("key")).filter("key IS NOT NULL")
-    hot = stored(own.groupBy("key").count().filter(F.col("count") > BLOCK).withColumnRenamed("count", "n"), "hot-keys")
-
-    usual = own.join(hot, "key", "left_anti").withColumnRenamed("id", "a")
-    pairs = usual.join(every.withColumnRenamed("id", "b"), "key").filter("a <> b")
+    lines = lines.withColumn("bag", _bag(line))
+    own = lines.select("id", "bag", F.explode(F.array(*own_keys)).alias("key"))
+    every = lines.select("id", "bag", F.explode(F.array(*own_keys, *probe_keys)).alias("key")).filter("key IS NOT NULL")
+    hot = stored(own.groupBy("key").count().filter(F.col("count") > HOT).withColumnRenamed("count", "n"), "hot-keys")
+
+    usual = own.join(hot, "key", "left_anti").withColumnsRenamed({"id": "a", "bag": "bag_a"})
+    pairs = usual.join(every.withColumnsRenamed({"id": "b", "bag": "bag_b"}), "key")
+    pairs = pairs.filter((F.col("a") != F.col("b")) & _alike("bag_a", "bag_b", distance))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     texts = lines.select("id", "line", "place")
     # The numbers of few lines are sent to the texts; many meet them by a shuffle.
@@ -127,6 +150,7 @@ def _near(lines: DataFrame, distance: int) -> DataFrame:
     both = half.join(met.withColumnsRenamed({"id": "b", "line": "y", "place": "py"}), "b")
     links = both.select("a", "b", "x", "y", "px", "py").mapInArrow(_verifier(distance), "id long, place decimal(38,0)")
 
+    own, every = own.drop("bag"), every.drop("bag")
     left = own.join(hot, "key").join(texts, "id").withColumn("own", F.lit(True))
     right = every.join(hot, "key").join(texts, "id").withColumn("own", F.lit(False))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -155,14 +179,21 @@ def _verifier(distance: int):
 
 
 def _block(distance: int):
+    """For each line of a block, the earliest line before it that is near: lines are tried in their order, up to the
+    first that is near."""
+
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["place"])
+        own, others = ([r for r in rows if r["own"] == side] for side in (True, False))
         best: dict[int, object] = {}
-        for a in (r for r in rows if r["own"]):
-            for b in (r for r in rows if not r["own"]):
-                if a["id"] != b["id"] and edit_distance(a["line"], b["line"], distance) <= distance:
-                    for x, y in ((a, b), (b, a)):
-                        best[x["id"]] = min(best.get(x["id"], y["place"]), y["place"])
+        for lines, earlier in ((others, own), (own, others)):
+            for line in lines:
+                for found in earlier:
+                    if found["place"] >= best.get(line["id"], line["place"]):
+                        break
+                    if edit_distance(found["line"], line["line"], distance) <= distance:
+                        best[line["id"]] = found["place"]
+                        break
         return pa.table(
             {"id": pa.array(list(best), pa.int64()), "place": pa.array(list(best.values()), pa.decimal128(38, 0))}
         )

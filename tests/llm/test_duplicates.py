@@ -36,8 +36,9 @@ def line_rows():
     return rows + [(None, same), (500, None), (501, ""), (502, "\n".join([same] * 3)), (503, "z" * 50_000), (504, "y" * 900), (505, "y" * 901)]
 
 
-@pytest.mark.parametrize(("block", "sent"), [(256, 500_000), (4, 0)])
-def test_lines(spark, monkeypatch, block, sent):
+@pytest.mark.parametrize(("hot", "block", "sent"), [(16, 256, 500_000), (500, 256, 500_000), (2, 4, 0)])
+def test_lines(spark, monkeypatch, hot, block, sent):
+    monkeypatch.setattr(line_edit_join, "HOT", hot)
     monkeypatch.setattr(line_edit_join, "BLOCK", block)
     monkeypatch.setattr(line_edit_join, "MAX_SENT", sent)
     rows = line_rows()
