@@ -1,10 +1,14 @@
-"""Near-equal lines across a corpus by a segment-partition edit join.
+"""Equal and near-equal lines across a corpus by a segment-partition edit join.
 
-Two lines within DISTANCE edits share, unchanged and almost in place, one of the DISTANCE + 1 segments that either is
+Equal lines of every length are found by grouping on the line. Near lines may differ by DISTANCE edits from MIN_CHARS
+code points on; the edits fall in proportion for shorter lines (one from half of it, then none), so that lines that
+differ in much of their text are not joined.
+
+Two lines within d edits share, unchanged and almost in place, one of the d + 1 segments that either is
 cut into (pigeonhole). Each distinct line is stored under its segments, keyed by its length, the segment's number and
 text, and looks up, for its own length and each smaller one within reach, the substrings of its own that can be such a
 segment: only those few start places that leave room for the edits on both sides. Lines that meet, and whose numbers of
-some letters allow it, are compared by a bit-parallel edit distance that gives up beyond DISTANCE.
+some letters allow it, are compared by a bit-parallel edit distance that gives up beyond the edits of the shorter one.
 
 Equal lines are one row before the join. A key that very many lines share (a family of numbered lines, say) is cut into
 blocks of lines, and blocks are paired, so no task holds a key's lines at once; a block gives each line its earliest near
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from querytide.llm.common import fresh
 from querytide.session import stored
 
-#: Edits within which two lines count as the same, and the shortest line (code points) that is looked at.
+#: Edits within which two lines count as the same, and the shortest line (code points) that may have all of them.
 DISTANCE, MIN_CHARS = 2, 24
 #: Keys of more lines than HOT are not paired by a join but in blocks of BLOCK lines.
 HOT, BLOCK = 256, 256
@@ -82,30 +86,44 @@ def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> C
     return F.xxhash64(length, F.lit(i), F.substring(line, start.cast("int") + 1, size.cast("int")))
 
 
-def _own_keys(line: Column, length: Column, distance: int) -> list[Column]:
-    return [_key(line, length, i, *_segment(length, i, distance)) for i in range(distance + 1)]
+def allowed(length: int, distance: int, min_chars: int) -> int:
+    """Edits by which a line may differ from one that is as long or longer."""
+    return min(distance, distance * length // max(1, min_chars), length - 1)
+
+
+def _allowed(length: Column, distance: int, min_chars: int) -> Column:
+    return F.least(F.lit(distance), F.floor(length * distance / max(1, min_chars)), length - 1)
+
+
+def _own_keys(line: Column, length: Column, distance: int, min_chars: int) -> list[Column]:
+    here = _allowed(length, distance, min_chars)
+    return [
+        F.when(here == d, _key(line, length, i, *_segment(length, i, d))) for d in range(1, distance + 1) for i in range(d + 1)
+    ]
 
 
-def _probe_keys(line: Column, length: Column, distance: int) -> list[Column]:
+def _probe_keys(line: Column, length: Column, distance: int, min_chars: int) -> list[Column]:
     """Keys of the segments that a line of this length or up to `distance` shorter would have here; the line's own are
     left out. A shift beyond the first bound leaves too few edits before the segment, beyond the second too few after."""
     keys = []
-    for less in range(distance + 1):
-        for i in range(distance + 1):
-            start, size = _segment(length - less, i, distance)
-            after = distance - i
-            for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                if less or shift:
-                    fits = (start + shift >= 0) & (start + shift + size <= length) & (length - less >= distance + 1)
-                    keys.append(F.when(fits, _key(line, length - less, i, start + shift, size)))
+    for d in range(1, distance + 1):
+        for less in range(d + 1):
+            of_these = _allowed(length - less, distance, min_chars) == d
+            for i in range(d + 1):
+                start, size = _segment(length - less, i, d)
+                after = d - i
+                for shift in range(max(-i, less - after), min(i, less + after) + 1):
+                    if less or shift:
+                        fits = of_these & (start + shift >= 0) & (start + shift + size <= length)
+                        keys.append(F.when(fits, _key(line, length - less, i, start + shift, size)))
     return keys
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """row, place (order of the line in the corpus), number, id and line of every line that is looked at."""
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """row, place (order of the line in the corpus), number, id and line of every line that is not blank."""
     lines = docs.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("number", "line"))
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("number")
-    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter(F.length("line") >= min_chars)
+    lines = lines.withColumn("line", F.btrim("line", F.lit(" \t\r\x0b\x0c"))).filter("line <> ''")
     return lines.select("row", place.cast("decimal(38,0)").alias("place"), "number", F.xxhash64("line").alias("id"), "line")
 
 
@@ -128,13 +146,18 @@ def _alike(a: str, b: str, distance: int) -> Column:
     return sum(apart[1:], apart[0]) <= 2 * distance
 
 
-def _near(lines: DataFrame, distance: int) -> DataFrame:
+def _near(lines: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """id and place: for each line with others within the distance, the earliest place of those."""
-    line, length = F.col("line"), F.length("line")
-    own_keys, probe_keys = _own_keys(line, length, distance), _probe_keys(line, length, distance)
+    # The length is a column of its own, so that it is not counted anew for each key.
+    line, length = F.col("line"), F.col("chars")
+    lines = lines.withColumn("chars", F.length("line")).filter(_allowed(length, distance, min_chars) > 0)
+    own_keys, probe_keys = (f(line, length, distance, min_chars) for f in (_own_keys, _probe_keys))
     lines = lines.withColumn("bag", _bag(line))
-    own = lines.select("id", "bag", F.explode(F.array(*own_keys)).alias("key"))
-    every = lines.select("id", "bag", F.explode(F.array(*own_keys, *probe_keys)).alias("key")).filter("key IS NOT NULL")
+
+    def keyed(keys: list[Column]) -> DataFrame:
+        return lines.select("id", "bag", F.explode(F.array(*keys).cast("array<long>")).alias("key")).filter("key IS NOT NULL")
+
+    own, every = keyed(own_keys), keyed([*own_keys, *probe_keys])
     hot = stored(own.groupBy("key").count().filter(F.col("count") > HOT).withColumnRenamed("count", "n"), "hot-keys")
 
     usual = own.join(hot, "key", "left_anti").withColumnsRenamed({"id": "a", "bag": "bag_a"})
@@ -148,7 +171,9 @@ def _near(lines: DataFrame, distance: int) -> DataFrame:
     met = stored(texts.join(met, "id", "left_semi"), "met-lines")
     half = pairs.join(met.withColumnsRenamed({"id": "a", "line": "x", "place": "px"}), "a")
     both = half.join(met.withColumnsRenamed({"id": "b", "line": "y", "place": "py"}), "b")
-    links = both.select("a", "b", "x", "y", "px", "py").mapInArrow(_verifier(distance), "id long, place decimal(38,0)")
+    links = both.select("a", "b", "x", "y", "px", "py").mapInArrow(_verifier(distance, min_chars), "id long, place decimal(38,0)")
+    if hot.isEmpty():
+        return links.groupBy("id").agg(F.min("place").alias("near"))
 
     own, every = own.drop("bag"), every.drop("bag")
     left = own.join(hot, "key").join(texts, "id").withColumn("own", F.lit(True))
@@ -158,17 +183,22 @@ def _near(lines: DataFrame, distance: int) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), blocks - 1))
     dealt = left.withColumn("i", mine).withColumn("j", others).unionByName(right.withColumn("j", mine).withColumn("i", others))
     dealt = dealt.select("key", "i", "j", "own", "id", "line", "place")
-    in_blocks = dealt.groupBy("key", "i", "j").applyInArrow(_block(distance), "id long, place decimal(38,0)")
+    in_blocks = dealt.groupBy("key", "i", "j").applyInArrow(_block(distance, min_chars), "id long, place decimal(38,0)")
     return links.union(in_blocks).groupBy("id").agg(F.min("place").alias("near"))
 
 
-def _verifier(distance: int):
+def _same(a: str, b: str, distance: int, min_chars: int) -> bool:
+    limit = allowed(min(len(a), len(b)), distance, min_chars)
+    return edit_distance(a, b, limit) <= limit
+
+
+def _verifier(distance: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
             ids, places = [], []
             for a, b, x, y, px, py in zip(*(rows[c] for c in ("a", "b", "x", "y", "px", "py")), strict=True):
-                if edit_distance(x, y, distance) <= distance:
+                if _same(x, y, distance, min_chars):
                     ids += [a, b]
                     places += [py, px]
             yield pa.RecordBatch.from_arrays(
@@ -178,7 +208,7 @@ def _verifier(distance: int):
     return run
 
 
-def _block(distance: int):
+def _block(distance: int, min_chars: int):
     """For each line of a block, the earliest line before it that is near: lines are tried in their order, up to the
     first that is near."""
 
@@ -191,7 +221,7 @@ def _block(distance: int):
                 for found in earlier:
                     if found["place"] >= best.get(line["id"], line["place"]):
                         break
-                    if edit_distance(found["line"], line["line"], distance) <= distance:
+                    if _same(found["line"], line["line"], distance, min_chars):
                         best[line["id"]] = found["place"]
                         break
         return pa.table(
@@ -206,8 +236,9 @@ def repeated_lines(
 ) -> DataFrame:
     """The lines that repeat an earlier line of the corpus, exactly or within `distance` edits.
 
-    Earlier is by id, then by line number. A line counts without blanks at its ends, and only with `min_chars` code
-    points or more; all its near lines count, repeated or not, but not theirs in turn. Returns row (hash of id and
+    Earlier is by id, then by line number. A line counts without blanks at its ends, and a blank one not at all. The
+    shorter of two lines sets the edits they may differ by: all from `min_chars` code points on, fewer in proportion
+    below; exact repeats have no bound. All near lines of a line count, repeated or not, but not theirs in turn. Returns row (hash of id and
     text) and lines (ascending numbers from 0, as split at line feeds) for documents that have such lines. Null texts
     have no lines. Rows without an id are neither earlier than others nor looked at; rows that are equal in id and text
     are one document. Distinct lines are told apart by their text, and named by a 64-bit hash. An empty table gives
@@ -215,10 +246,10 @@ def repeated_lines(
     chosen = docs.select(
         F.xxhash64(id_col, text_col).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
-    found = _occurrences(chosen.filter("doc_id IS NOT NULL"), min_chars)
+    found = _occurrences(chosen.filter("doc_id IS NOT NULL"))
     lines = found.groupBy("line").agg(F.min("place").alias("place"), F.max("place").alias("last"))
     lines = stored(lines.select(F.xxhash64("line").alias("id"), "line", "place", "last"), "lines")
-    near = stored(_near(lines, distance), "near-lines")
+    near = stored(_near(lines, distance, min_chars), "near-lines")
     first = F.least("place", F.coalesce("near", "place"))
     first = lines.select("id", "place", "last").join(near, "id", "left").select("id", first.alias("first"), "last")
     first = stored(first.filter("first < last").select("id", "first"), "first-places")

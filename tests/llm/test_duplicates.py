@@ -52,6 +52,37 @@ def test_lines(spark, monkeypatch, hot, block, sent):
     assert sorted(map(tuple, cut.collect()), key=repr) == sorted(texts, key=repr)
 
 
+def short_rows():
+    choice, rows = random.Random(11), [(0, "Home\nShare\n\n \nShare\nHome \nHone"), (1, "Home\nAll rights reserved.\nx"), (2, "All rights reserved\nx\r\n")]
+    for k in range(3, 60):
+        lines = []
+        for _ in range(8):
+            line = list("read more of this story now"[: choice.randint(1, 27)])
+            for _ in range(choice.randint(0, 2)):
+                line.insert(choice.randrange(len(line) + 1), choice.choice("xyz")) if choice.random() < 0.5 else line.pop()
+                line = line or ["r"]
+            lines.append("".join(line))
+        rows.append((k, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize(("hot", "block", "sent"), [(500, 256, 500_000), (2, 4, 0)])
+def test_short_lines(spark, monkeypatch, hot, block, sent):
+    for name, value in (("HOT", hot), ("BLOCK", block), ("MAX_SENT", sent)):
+        monkeypatch.setattr(line_edit_join, name, value)
+    rows = short_rows()
+
+    def measure(a, b, limit):  # two edits from 24 code points of the shorter line, one from 12, else none
+        far = edits(a, b)
+        return far if far <= min(2, min(len(a), len(b)) // 12) else limit + 1
+
+    want = repeated_lines(rows, 2, 1, measure)
+    assert want[0] == [4, 5] and want[1] == [0] and want[2] == [0, 1]  # "Hone" is another line than "Home"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_lines"] for r in line_edit_join.line_report(docs).collect()}
+    assert got == {i: ",".join(map(str, want.get(i, ()))) for i, _ in rows}
+
+
 def test_lines_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_edit_join.line_report(docs).count() == 0
