@@ -7,7 +7,7 @@ empty member, whose last byte is 0 too).
 
 The reader checks each member or plain record (inflation, version line, length, closing blank lines, digests). After a
 failed check it looks for the next gzip or version line that begins a sound record, goes on there and reports the bytes
-between as a gap.
+between as a gap. The content of a damaged member is searched in the same way, as far as it can be inflated.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ _MEMBER, _VERSION, _SEPARATOR = b"\x1f\x8b\x08", b"WARC/1.", "\0"
 _EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 16
-_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)+)\r\n")
-_MAX_HEAD = 1 << 16
+_HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n:]++:[^\r\n]*+\r\n)++)\r\n")
 
 RECORDS = (
     "path string, start long, bytes long, gap string, record_id string, record_type string, uri string, "
@@ -103,7 +102,12 @@ def write_archives(rows: DataFrame, path: str, name: str = "urn:page:", date: st
 
 
 class Broken(Exception):
-    """A check of a member or record has failed."""
+    """A check of a member or record has failed; `content` is what the member held, as far as it could be inflated, and
+    `stop` the place after the member where that is known."""
+
+    def __init__(self, reason: str, content: bytes = b"", stop: int | None = None) -> None:
+        super().__init__(reason)
+        self.content, self.stop = content, stop
 
 
 def _inflate(data: memoryview, start: int) -> tuple[bytes, int]:
@@ -112,14 +116,25 @@ def _inflate(data: memoryview, start: int) -> tuple[bytes, int]:
     try:
         while not unpack.eof:
             if at >= len(data):
-                raise Broken("the file ends in a member")
+                raise Broken("the file ends in a member", b"".join(out))
+            before = unpack.copy()
             out.append(unpack.decompress(data[at : at + _CHUNK]))
             at += _CHUNK
     except zlib.error as error:
-        raise Broken("a member cannot be inflated") from error
+        out += _until_error(before, data[at : at + _CHUNK])
+        raise Broken("a member cannot be inflated", b"".join(out)) from error
     return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
 
 
+def _until_error(unpack, data: memoryview) -> Iterator[bytes]:
+    """What the bytes before the faulty one give."""
+    for k in range(len(data)):
+        try:
+            yield unpack.decompress(data[k : k + 1])
+        except zlib.error:
+            return
+
+
 def _digest(text: str) -> str | None:
     """A sha1 header value as lower-case hexadecimal digits; null for other algorithms."""
     kind, _, value = text.partition(":")
@@ -131,9 +146,9 @@ def _digest(text: str) -> str | None:
         raise Broken("a digest cannot be read") from error
 
 
-def _parse(data: bytes | memoryview, start: int) -> tuple[dict, int]:
-    """The record at `start` and the place after it."""
-    head = _HEAD.match(bytes(data[start : start + _MAX_HEAD]))
+def _parse(data: bytes | memoryview, start: int, digests: bool = False) -> tuple[dict, int]:
+    """The record at `start` and the place after it; with `digests`, only a record whose block has a digest."""
+    head = _HEAD.match(data, start)
     if not head:
         raise Broken("no version line and headers")
     fields = {}
@@ -142,12 +157,15 @@ def _parse(data: bytes | memoryview, start: int) -> tuple[dict, int]:
         fields.setdefault(key.strip().lower(), value.strip())
     if not fields.get("content-length", "").isdecimal():
         raise Broken("no content length")
-    first = start + head.end()
+    first = head.end()
     stop = first + int(fields["content-length"])
     if bytes(data[stop : stop + 4]) != b"\r\n\r\n":
         raise Broken("the record does not end where its length says")
     block = bytes(data[first:stop])
-    if (known := _digest(fields.get("warc-block-digest", ""))) and known != hashlib.sha1(block).hexdigest():
+    known = _digest(fields.get("warc-block-digest", ""))
+    if digests and not known:
+        raise Broken("no block digest")
+    if known and known != hashlib.sha1(block).hexdigest():
         raise Broken("the block digest differs")
     kind, payload, size = fields.get("warc-type", ""), block, None
     if fields.get("content-type", "").startswith("application/http"):
@@ -180,33 +198,62 @@ def _at(data: memoryview, start: int) -> tuple[list[dict], int]:
         return [record], stop
     content, stop = _inflate(data, start)
     records, at = [], 0
-    while at < len(content):
-        record, at = _parse(content, at)
-        records.append(record)
+    try:
+        while at < len(content):
+            record, at = _parse(content, at)
+            records.append(record)
+    except Broken as error:
+        raise Broken(str(error), content, stop) from error
     return records, stop
 
 
+def _inside(error: Broken) -> list[dict]:
+    """The sound records of a damaged member's content: after a failed check, from the next sound version line on.
+
+    If the member's own checksum is not there to vouch for the headers, records need a digest, and the fault must show
+    in another record of the member: if none fails, it may be in any header, which no digest covers."""
+    content, vouched = error.content, error.stop is not None
+    records, at, failed = [], content.find(_VERSION), False
+    while at >= 0:
+        try:
+            record, stop = _parse(content, at, digests=not vouched)
+            records.append(record)
+            at = content.find(_VERSION, stop)
+        except Broken:
+            failed = True
+            at = content.find(_VERSION, at + 1)
+    return records if vouched or failed else []
+
+
 def salvage(content: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
-    """(start, bytes, null, record) for each sound record and (start, bytes, reason, {}) for each gap, in order."""
-    data, at = memoryview(content), 0
+    """(start, bytes, null, record) for each sound record and (start, bytes, reason, {}) for each gap, in order. A damaged
+    member is a gap, and the sound records inside it follow with the gap's place."""
+    data, at, inside = memoryview(content), 0, []
     while at < len(content):
         try:
             records, stop = _at(data, at)
         except Broken as error:
-            reason, stop = str(error), at
-            while stop < len(content):
+            reason, stop, more = str(error), error.stop or at, _inside(error)
+            while not error.stop and stop < len(content):
                 found = [i for i in (content.find(_MEMBER, stop + 1), content.find(_VERSION, stop + 1)) if i >= 0]
                 stop = min(found, default=len(content))
                 try:
                     if stop < len(content):
                         _at(data, stop)
                     break
-                except Broken:
-                    continue
+                except Broken as other:
+                    if _inside(other):
+                        break
             yield at, stop - at, reason, {}
+            inside = more or inside
+            for record in more:
+                yield at, stop - at, None, record
         else:
+            # A member that holds its bytes as they are shows its records to the search too.
+            inside = [] if data[at : at + len(_MEMBER)] == _MEMBER else inside
             for record in records:
-                yield at, stop - at, None, record
+                if record not in inside:
+                    yield at, stop - at, None, record
         at = stop
 
 
@@ -215,7 +262,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     For records, gap is null, start and bytes tell where the member or plain record lies, the digest is lower-case
     hexadecimal, and payload is null for revisits (their payload_bytes is what the stored HTTP header says) and where
-    `payloads` is false. For gaps, gap gives the failed check and the record's columns are null. A file is read whole
+    `payloads` is false. For gaps, gap gives the failed check and the record's columns are null; sound records inside a
+    damaged member have the gap's start and bytes. A file is read whole
     by one task, so archives should be cut into files that fit a task's memory (2 GB at most)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,6 +72,32 @@ def test_random_damage_never_loses_sound_records():
         assert [f"urn:page:{k}" for k in range(12) if k != hit] == [n for n in found if n != f"urn:page:{hit}"]
 
 
+def test_sound_records_inside_damaged_members():
+    parts = [record(k, 3000) for k in range(8)]
+    wrong = parts[3].replace(b"page 3", b"page 9")
+    some = [f"urn:page:{k}" for k in (0, 1, 2, 4, 5, 6, 7)]
+    member = warc_salvage._member(b"".join([*parts[:3], wrong, *parts[4:]]))  # one bad record in a sound member
+    assert names(member + members(1)[0]) == ([*some, "urn:page:0"], [(0, len(member))])
+    noise = random.Random(12).randbytes
+    whole = [record(k) + noise(20) + record(k + 10).replace(b"<p>page", noise(7)) for k in range(0, 8, 2)]
+    cut = warc_salvage._member(b"".join(whole))[:-300]  # damage inside and the end cut off
+    found, gaps = names(cut + members(1)[0])
+    assert found[:2] == ["urn:page:0", "urn:page:2"] and found[-1] == "urn:page:0" and gaps == [(0, len(cut))]
+    pack = warc_salvage.zlib.compressobj(0, warc_salvage.zlib.DEFLATED, 31)  # stored bytes with a wrong checksum
+    plain = bytearray(pack.compress(b"".join(parts)) + pack.flush())
+    plain[plain.index(b"page 5")] ^= 1
+    assert names(bytes(plain))[0] == [f"urn:page:{k}" for k in (0, 1, 2, 3, 4, 6, 7)]
+    two = warc_salvage._member(b"".join(parts))[:-40]  # both of two neighbouring members are damaged
+    found, gaps = names(two + two)
+    assert len(gaps) == 2 and found[:7] == [f"urn:page:{k}" for k in range(7)] and found.count("urn:page:6") == 2
+
+
+def test_long_headers():
+    long = record(1).replace(b"http://h/1", b"http://h/" + b"%20" * 50_000)
+    assert names(long + record(2)) == (["urn:page:1", "urn:page:2"], [])
+    assert names(warc_salvage._member(long) + members(1)[0]) == (["urn:page:1", "urn:page:0"], [])
+
+
 def test_write_and_read(spark, folder):
     body = "é" * 600
     rows = [(1, "http://a/ \n", body), (2, None, body), (2, "u", body), (None, "n", body), (3, "s", "short"), (4, "s", "short"), (5, "e", None), (6, "e", ""), (7, "x", "y" * 400_000)]
