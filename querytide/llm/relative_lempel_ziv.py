@@ -1,12 +1,13 @@
-"""Repeated passages by Relative Lempel-Ziv parsing against an index of reference blocks.
+"""Repeated passages by hashes of content-cut blocks and of windows.
 
 Every document is cut by its content into blocks: the windows of WINDOW words that share their smallest ANCHOR-word hash
 form a run, and the words of a run are a block. Equal passages are cut alike, so the distinct blocks, each with the
-first document that has it, are an index of the whole corpus in about a fourteenth of its windows. A document is then
-factored against this index: a block that an earlier document has is a factor in full, and neighbouring factors join to
-longer ones.
+first document that has it, are an index of the whole corpus in about a fourteenth of its windows. A block of a document
+that an earlier document has is covered in full. These hashes, and not a parse, decide which words are repeated; the
+factors are joined from them afterwards, block by block with the first source of each, so a longer factor from a later
+source is not found.
 
-A match may end inside a block, at a factor's boundary. A window lies in a block that has the window's own anchor, so
+A match may end inside a block. A window lies in a block that has the window's own anchor, so
 only blocks whose anchor occurs in several distinct blocks can share windows without being equal. Those few blocks, one
 copy of each, are checked window by window by their hashes. So every window that starts in an earlier document is found,
 whether that document is the first with the block or not.
@@ -139,8 +140,8 @@ def _earlier(docs: DataFrame) -> DataFrame:
 def factor(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Factor every whole text against the documents with smaller ids.
 
-    Returns doc_id, n_words, factors (array of start, words, source: greedy, longest first factors of WINDOW words or
-    more, each from one earlier document), spans (first word and word after the last of the covered stretches, in turn)
+    Returns doc_id, n_words, factors (array of start, words, source: stretches of WINDOW words or
+    more, each in one earlier document, not always the longest there are), spans (first word and word after the last of the covered stretches, in turn)
     and kept (the words outside, joined by one blank), one row per row of `docs`. Null texts have no words. Rows that
     share an id are not earlier than each other; a row without an id is neither earlier than another nor covered. Other
     columns are left out, so their names cannot clash. An empty table gives none."""
