@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from querytide.llm.common import as_bytes, lists
 from querytide.session import stored
 
-#: A subtree is template if this share of the host's different pages has it, and as many pages at least.
-MIN_SHARE, MIN_PAGES = 0.2, 5
+#: A subtree is template if so many different pages of its host have it, however many pages the host has.
+MIN_PAGES = 5
 #: Elements nested deeper become neighbours; their text stays in order.
 DEPTH = 200
 _BATCH_BYTES = 4 << 20
@@ -237,11 +237,11 @@ def main_text(source: str, template: set[int]) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and hashes: the subtrees that recur on many different pages of a host.
+    """host, page and hashes: the subtrees of each different page that recur on MIN_PAGES different pages of its host.
 
-    `pages` has host and html. Pages that are alike count once, so that copies of a page make no template of it. A
-    subtree counts if MIN_SHARE of the pages have it, so a host has at most 1 / MIN_SHARE times as many as its pages
-    have on average: the lists are as bounded as a page. Counts are combined before each shuffle."""
+    `pages` has host, page (a hash of the html) and html. Pages that are alike count once, so that copies of a page make
+    no template of it. Counts are combined before the shuffle and joined to the subtrees of each page, so a row is as
+    bounded as a page, whatever the host has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,16 +252,13 @@ def templates(pages: DataFrame) -> DataFrame:
                 names=["host", "page", "hashes"],
             )
 
-    hashed = pages.select("host", F.xxhash64("html").alias("page"), "html")
-    found = hashed.mapInArrow(run, "host string, page long, hashes array<long>")
+    found = pages.select("host", "page", "html").mapInArrow(run, "host string, page long, hashes array<long>")
     different = found.groupBy("host", "page").agg(F.first("hashes").alias("hashes"))
-    # The page itself is a subtree of every page, with the hash null: its count is the host's number of pages.
-    every = F.explode(F.concat("hashes", F.array(F.lit(None).cast("long")))).alias("hash")
-    counts = different.select("host", every).groupBy("host", "hash").count()
-    counts = stored(counts.filter((F.col("count") >= MIN_PAGES) | F.col("hash").isNull()), "subtrees")
-    totals = counts.filter("hash IS NULL").select("host", F.col("count").alias("pages"))
-    common = counts.filter("hash IS NOT NULL").join(totals, "host").filter(F.col("count") >= MIN_SHARE * F.col("pages"))
-    return common.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    # Written first, so that the exchange of the join is its own and AQE can split a subtree of very many pages.
+    each = stored(different.select("host", "page", F.explode("hashes").alias("hash")), "subtrees")
+    counts = each.groupBy("host", "hash").count().filter(F.col("count") >= MIN_PAGES).select("host", "hash")
+    common = each.join(stored(counts, "recurring"), ["host", "hash"])
+    return common.groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -276,8 +273,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html"),
         host.alias("host"),
-    )
-    # Written first, so that Spark broadcasts the lists only if they are small and splits a host with very many pages.
+    ).withColumn("page", F.xxhash64("html"))
+    # Written first, so that Spark broadcasts the lists only if they are small and splits a page with very many copies.
     known = stored(templates(rows), "templates")
     schema = rows.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
 
@@ -299,5 +296,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     )
                     first, size, texts = i + 1, 0, []
 
-    joined = rows.join(known, "host", "left")
+    joined = rows.join(known, ["host", "page"], "left")
     return joined.select("page_id", "url", "html", "hashes").mapInArrow(run, schema)

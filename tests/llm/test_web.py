@@ -128,6 +128,16 @@ def test_query_equals_sql(spark, name):
     assert sorted(map(tuple, got.select(columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
 
 
+def test_subtrees_of_few_pages_of_a_large_host_go(spark):
+    def page(k):  # five adverts of a host of 100 pages, each on 20 of them at most, and a menu on six
+        advert = f"<div>Buy {k % 7}</div>" if k % 7 < 5 else ""
+        return f"<body>{advert}{'<div>Part A</div>' if k < 6 else ''}{'<div>Seen four times</div>' if k > 95 else ''}<p>text {k}</p></body>"
+
+    pages = spark.createDataFrame([(k, "http://a.example/", page(k)) for k in range(100)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_template.extract(pages).collect()}
+    assert got == {k: f"Seen four times\n\ntext {k}" if k > 95 else f"text {k}" for k in range(100)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p><article>";</script></head>
 <body class="has-sidebar"><header><h1>Site</h1></header><nav><ul><li>Menu</ul></nav><div class="ad">Buy</div>
 <main><article class="post"><header><h1>Head &amp; line</h1></header><p>One<br>two <b>th</b>ree&nbsp;x<p>Next
