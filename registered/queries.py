@@ -133,7 +133,8 @@ def stoplist_empty(spark, sf_dir):
 
 
 def top_words_of_documents(spark, sf_dir):
-    """The most frequent words of all documents, lower-cased; many are not ASCII, and ties are in text order."""
+    """The most frequent of the documents' words that hold a character beyond ASCII (others are left out), lower-cased;
+    ties are in text order."""
     words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("query"))
     counted = words.where(F.col("query").rlike("[^\\x00-\\x7F]")).groupBy("query").agg(F.count("*").alias("count"))
     return ranking.top_k(counted, 1000)
