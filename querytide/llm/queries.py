@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from querytide.llm import (
     backtracking_bpe,
+    cholesky_whitening,
     circulant_minhash,
+    collision_search,
     decision_list,
     decontaminate,
+    four_russians,
     line_edit_join,
     relative_lempel_ziv,
     site_template,
@@ -90,6 +93,20 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip_chain.span_digests(skip_chain.find_personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", turned)
+    return four_russians.hard_negatives(rows, lambda i: i % 100 == 0, "vec_id", "embedding", "label")
+
+
+def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, "vec_id", "embedding")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cholesky_whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
@@ -101,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_decontamination": op9_decontamination,
     "op10_personal_data": op10_personal_data,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_nearest": op12_nearest,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": """
@@ -112,4 +132,28 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id <> original THEN original END AS refers_to
         FROM o
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+              list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+          SELECT a.vec_id AS anchor_id, a.label AS anchor_label, c.vec_id, c.label,
+              list_inner_product(a.vec, c.vec)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ),
+        p AS (
+          SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        )
+        SELECT anchor_id, positive_id,
+            (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+            vec_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE label <> p.anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
