@@ -1,143 +1,169 @@
-"""Finding the anchors of rate-limit windows, one chunk of time after another.
+"""Anchors of rate-limit windows as a scan over functions.
 
-These run inside tasks on sorted (ip, chunk) rows; Spark does the partitioning and sorting. Frames are pandas batches,
-all arithmetic is done for a whole batch at once.
+An address's windows form a chain: the first arrival later than `anchor + ttl` is the next anchor. For a stretch of an
+address's sorted arrivals, the anchor it ends with is a function of the anchor it begins with. That function is a step
+function that never falls: it is the identity while the begun window covers the whole stretch, and otherwise depends
+only on which arrival comes first after that window. Functions of neighbouring stretches compose, and composing is
+associative, so they can be combined in a tree in any grouping. `StretchMap` is such a function.
+
+The rest are generators over sorted batches, which run inside tasks; Spark does the partitioning and sorting.
 """
 
 from __future__ import annotations
 
 import sys
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 
 # Stands for "no anchor yet"; far enough in the past to lie outside every window.
-_NEVER = -(2**62)
-
+NEVER = -(2**62)
+
+
+@dataclass(frozen=True)
+class StretchMap:
+    """From the anchor before a stretch to the anchor after it, for anchors before `first`.
+
+    The first of `entries` later than `anchor + ttl` names the chain's first anchor in the stretch, and `exits` holds
+    where the chain then ends; without such an entry the anchor stays. Of entries with the same exit the latest stands
+    for all. A window from before the stretch ends within `ttl` of `first`, which bounds the entries.
+    """
+
+    first: int
+    last: int
+    entries: np.ndarray
+    exits: np.ndarray
+
+    @classmethod
+    def of(cls, arrivals: np.ndarray, ttl: int) -> StretchMap:
+        """The map of distinct arrivals in rising order."""
+        n = len(arrivals)
+        following = np.searchsorted(arrivals, arrivals + ttl, side="right")
+        end = np.where(following < n, following, np.arange(n))
+        # Each round doubles the number of windows that `end` skips.
+        while not np.array_equal(further := end[end], end):
+            end = further
+        count = int(np.searchsorted(arrivals, arrivals[0] - 1 + ttl, side="right")) + 1
+        return cls(int(arrivals[0]), int(arrivals[-1]), *_distinct(arrivals[:count], arrivals[end[:count]]))
+
+    def __call__(self, anchors: np.ndarray, ttl: int) -> np.ndarray:
+        at = np.searchsorted(self.entries, anchors + ttl, side="right")
+        found = at < len(self.entries)
+        return np.where(found, self.exits[np.where(found, at, 0)], anchors)
+
+    def then(self, later: StretchMap, ttl: int) -> StretchMap:
+        """The map of this stretch and the one after it."""
+        entries, exits = self.entries, later(self.exits, ttl)
+        latest = self.first - 1 + ttl
+        if self.last <= latest:
+            # Windows that cover this stretch go on into the later one.
+            count = int(np.searchsorted(later.entries, latest, side="right")) + 1
+            entries = np.concatenate([entries, later.entries[:count]])
+            exits = np.concatenate([exits, later.exits[:count]])
+        return StretchMap(self.first, later.last, *_distinct(entries, exits))
+
+
+def _distinct(entries: np.ndarray, exits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.ones(len(entries), dtype=bool)
+    keep[:-1] = exits[1:] != exits[:-1]
+    return entries[keep], exits[keep]
+
+
+def _runs(frame: pd.DataFrame) -> Iterator[tuple[str, int, int]]:
+    """(ip, start, end) of each address in a sorted batch."""
+    ip = frame["ip"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, ip[1:] != ip[:-1]])
+    yield from zip(ip[starts], starts.tolist(), [*starts[1:].tolist(), len(ip)], strict=True)
+
+
+def boundary_maps(ttl: int):
+    """The maps of a partition's first and last address: only those can go on in another partition.
+
+    A long stretch is composed batch by batch, so a task holds one batch and one map.
+    """
+
+    def row(part: int, ip: str, stretch: StretchMap) -> dict:
+        return {"ip": ip, "node": part} | vars(stretch)
 
-def whole_chunks(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted batches so that no (ip, chunk) group is split between two of them."""
-    waiting: list[pd.DataFrame] = []
-    for frame in frames:
-        if frame.empty:
-            continue
-        same = (frame["ip"] == frame["ip"].iat[-1]) & (frame["chunk"] == frame["chunk"].iat[-1])
-        first = int(np.argmax(same.to_numpy()))
-        if first or (waiting and _last_key(waiting[-1]) != _last_key(frame)):
-            yield pd.concat([*waiting, frame.iloc[:first]], ignore_index=True)
-            waiting = []
-        waiting.append(frame.iloc[first:])
-    if waiting:
-        yield pd.concat(waiting, ignore_index=True)
+    def summarise(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = part = None
+        for frame in frames:
+            if frame.empty:
+                continue
+            part, arrivals = int(frame["part"].iat[0]), frame["arrival"].to_numpy()
+            runs = list(_runs(frame))
+            for ip, start, end in runs[:1] + runs[1:][-1:]:
+                stretch = StretchMap.of(arrivals[start:end], ttl)
+                if last is not None and last[0] == ip:
+                    stretch = last[1].then(stretch, ttl)
+                elif last is not None and first is None:
+                    first = last
+                last = (ip, stretch)
+        found = [x for x in (first, last) if x is not None]
+        if found:
+            yield pd.DataFrame([row(part, *x) for x in found])
 
+    return summarise
 
-def _last_key(frame: pd.DataFrame) -> tuple[str, int]:
-    return frame["ip"].iat[-1], frame["chunk"].iat[-1]
 
+def _maps(rows: pd.DataFrame) -> Iterator[StretchMap]:
+    for row in rows.itertuples():
+        yield StretchMap(row.first, row.last, np.asarray(row.entries), np.asarray(row.exits))
 
-def _group_starts(frame: pd.DataFrame) -> np.ndarray:
-    ip, chunk = frame["ip"].to_numpy(), frame["chunk"].to_numpy()
-    starts = np.ones(len(frame), dtype=bool)
-    starts[1:] = (ip[1:] != ip[:-1]) | (chunk[1:] != chunk[:-1])
-    return starts
 
+def composed(ttl: int):
+    """One map of an address's neighbouring nodes, for the node above them."""
 
-class _ChunkIndex:
-    """Positions within a frame of whole (ip, chunk) groups sorted by arrival."""
+    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = None
+        for stretch in _maps(rows.sort_values("node")):
+            whole = stretch if whole is None else whole.then(stretch, ttl)
+        return pd.DataFrame([{"ip": key[0], "node": key[1]} | vars(whole)])
 
-    def __init__(self, frame: pd.DataFrame, ttl: int, span: int):
-        self.opens = _group_starts(frame)
-        self.group = np.cumsum(self.opens) - 1
-        self.first = np.flatnonzero(self.opens)
-        self.offset = frame["arrival"].to_numpy() - frame["chunk"].to_numpy() * span
-        # Groups laid out on one axis, further apart than a window reaches.
-        self.stride = span + ttl + 1
-        self.axis = self.group * self.stride + self.offset
-        after = np.searchsorted(self.axis, self.axis + ttl, side="right")
-        inside = self.group[np.minimum(after, len(frame) - 1)] == self.group
-        self.next = np.where((after < len(frame)) & inside, after, -1)
+    return compose
 
 
-def chunk_exits(ttl: int, span: int):
-    """Per chunk: for every arrival that may be its first anchor, the last anchor that follows from it."""
+def handed_down(ttl: int):
+    """The anchor that each of an address's neighbouring nodes begins with, given the one the first begins with."""
 
-    def summarise(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_chunks(frames):
-            index = _ChunkIndex(frame, ttl, span)
-            # A window from before the chunk ends within its first `ttl` units.
-            may_enter = index.opens.copy()
-            may_enter[1:] |= index.offset[:-1] < ttl
-            entry = np.flatnonzero(may_enter)
-            exit_ = entry
-            while (index.next[exit_] >= 0).any():
-                exit_ = np.where(index.next[exit_] >= 0, index.next[exit_], exit_)
-            # Later entries never leave earlier, so of equal exits the latest entry stands for all.
-            keep = np.ones(len(entry), dtype=bool)
-            keep[:-1] = exit_[1:] != exit_[:-1]
-            arrival = frame["arrival"].to_numpy()
-            yield pd.DataFrame(
-                {
-                    "ip": frame["ip"].to_numpy()[entry[keep]],
-                    "chunk": frame["chunk"].to_numpy()[entry[keep]],
-                    "entry": arrival[entry[keep]],
-                    "exit": arrival[exit_[keep]],
-                }
-            )
+    def hand_down(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        anchor, incoming = np.array([rows["incoming"].iat[0]]), []
+        for stretch in _maps(rows):
+            incoming.append(int(anchor[0]))
+            anchor = stretch(anchor, ttl)
+        return pd.DataFrame({"ip": key[0], "node": rows["node"].to_numpy(), "incoming": incoming})
 
-    return summarise
+    return hand_down
 
 
-def chain_chunks(ttl: int):
-    """Per address: the anchor whose window is the latest one when each chunk begins."""
-
-    def follow(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, anchor = None, _NEVER
-        for frame in whole_chunks(frames):
-            first = np.flatnonzero(_group_starts(frame))
-            bounds = np.append(first, len(frame)).tolist()
-            ips, entries, exits = frame["ip"].tolist(), frame["entry"].tolist(), frame["exit"].tolist()
-            incoming = []
-            for low, high in zip(bounds, bounds[1:]):
-                if ips[low] != current:
-                    current, anchor = ips[low], _NEVER
-                incoming.append(anchor)
-                at = bisect_right(entries, anchor + ttl, low, high)
-                if at < high:
-                    anchor = exits[at]
-            yield pd.DataFrame(
-                {
-                    "ip": frame["ip"].to_numpy()[first],
-                    "chunk": frame["chunk"].to_numpy()[first],
-                    "incoming": np.array(incoming, dtype=np.int64),
-                }
-            )
-
-    return follow
-
-
-def place_anchors(ttl: int, span: int):
-    """Per chunk: the anchor of the window that each arrival belongs to, given the anchor the chunk begins with."""
+def placed(ttl: int, incoming: dict[int, int]):
+    """Adds the anchor of each arrival's window. `incoming` has the anchor that a partition's first address begins with."""
 
     def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_chunks(frames):
-            index = _ChunkIndex(frame, ttl, span)
-            arrival, incoming = frame["arrival"].to_numpy(), frame["incoming"].to_numpy()
-            covered = np.maximum(incoming[index.first] + ttl - frame["chunk"].to_numpy()[index.first] * span, -1)
-            groups = np.arange(len(index.first))
-            at = np.searchsorted(index.axis, groups * index.stride + covered, side="right")
-            ends = np.append(index.first[1:], len(frame))
-            at = at[at < ends]
-            is_anchor = np.zeros(len(frame), dtype=bool)
-            while at.size:
-                is_anchor[at] = True
-                at = index.next[at]
-                at = at[at >= 0]
-            latest = np.maximum.accumulate(np.where(is_anchor, np.arange(len(frame)), -1))
-            own = latest >= index.first[index.group]
-            yield frame[["ip", "arrival", "n", "carried"]].assign(anchor=np.where(own, arrival[latest], incoming))
+        current, anchor = None, NEVER
+        for frame in frames:
+            if frame.empty:
+                continue
+            arrivals = frame["arrival"].to_numpy()
+            anchors = np.empty(len(frame), dtype=np.int64)
+            for ip, start, end in _runs(frame):
+                if ip != current:
+                    anchor = NEVER if current is not None else incoming.get(int(frame["part"].iat[0]), NEVER)
+                    current = ip
+                own = arrivals[start:end]
+                following = np.searchsorted(own, own + ttl, side="right").tolist()
+                opened, at = [], int(np.searchsorted(own, anchor + ttl, side="right"))
+                while at < len(own):
+                    opened.append(at)
+                    at = following[at]
+                begins = np.array([anchor, *own[opened].tolist()])
+                anchors[start:end] = begins[np.searchsorted(np.array(opened, np.int64), np.arange(len(own)), side="right")]
+                anchor = int(begins[-1])
+            yield frame[["ip", "arrival", "n", "carried"]].assign(anchor=anchors)
 
     return place
 

@@ -6,14 +6,15 @@ depends on all earlier events of the address, so the anchors form a chain. The c
 
 1. `suspects` keeps the addresses that could exceed the limit at all; nobody else's events are looked at again.
 2. `tick_counts` collapses their events to one row per (address, arrival).
-3. Time is cut into chunks. For each (address, chunk) on its own, `chunk_exits` tells for every possible first
-   anchor in the chunk which anchor the chain leaves it with. `chain_chunks` follows these summaries from chunk to
-   chunk, and `place_anchors` fills in the anchors inside every chunk.
+3. Ticks are sorted by address and arrival into partitions of about equal size, whoever's they are. For the addresses
+   at a partition's edges `boundary_maps` gives a function from the anchor that the partition begins with to the one it
+   ends with. The functions are composed in a tree over the partitions, and the anchors are handed down the same tree,
+   in as many steps as the tree is high. `placed` then fills in the anchors inside every partition.
 4. `rate_windows` sums up each window and notes the arrival at which the limit is reached.
 
-No step needs all events of an address in one task: groups hold at most one chunk of distinct arrivals, and the one
-pass along an address's time line reads chunk summaries only. The windows that reach the limit are written to the
-shared folder; there are at most 1/limit as many as events. Events are then joined to them.
+No step needs all events of an address in one task, however they lie in time: an address with all of the events is cut
+like any other rows, and a group of the tree holds FAN functions of at most ttl + 2 numbers. The windows that reach the
+limit are written to the shared folder; there are at most 1/limit as many as events. Events are then joined to them.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querytide.errors import InvalidArgumentError
-from querytide.functions.anchors import chain_chunks, chunk_exits, place_anchors
+from querytide.functions.anchors import NEVER, boundary_maps, composed, handed_down, placed
 from querytide.functions.times import cell
 from querytide.operators.ranking import first_k_per_group
 from querytide.session import stored
 
-# Windows per chunk: the walk along an address's time line reads about 1/256 of its distinct arrivals.
-_WINDOWS_PER_CHUNK = 256
+# Neighbouring functions that one task of the tree composes.
+FAN = 64
 # Up to this many windows' length, anchors are found one after another.
 _MAX_ROUNDS = 16
 
@@ -54,21 +55,40 @@ def suspects(events: DataFrame, limit: int, ttl: int, ip: str = "ip", arrival: s
     return cells.agg(F.count("*").alias("n")).where(F.col("n") * 2 > limit).select("ip").distinct()
 
 
-def _anchored_in_chunks(by_chunk: DataFrame, ttl: int, span: int) -> DataFrame:
-    """(ip, arrival, n, carried, anchor): every tick with the anchor of its window."""
-    exits = by_chunk.mapInPandas(chunk_exits(ttl, span), "ip string, chunk bigint, entry bigint, exit bigint")
-    incoming = (
-        exits.repartition("ip")
-        .sortWithinPartitions("ip", "chunk", "entry")
-        .mapInPandas(chain_chunks(ttl), "ip string, chunk bigint, incoming bigint")
-    )
-    return (
-        by_chunk.join(incoming, ["ip", "chunk"])
-        .sortWithinPartitions("ip", "chunk", "arrival")
-        .mapInPandas(
-            place_anchors(ttl, span), "ip string, arrival bigint, n bigint, carried bigint, anchor bigint"
-        )
-    )
+_MAP = "ip string, node bigint, first bigint, last bigint, entries array<bigint>, exits array<bigint>"
+
+
+def _incoming(maps: DataFrame, ttl: int, parts: int) -> dict[int, int]:
+    """For each partition that goes on with an address of the one before it: the anchor it begins with.
+
+    Maps are composed FAN by FAN until FAN or fewer nodes are left; then the anchors come down again. There are at most
+    two maps and one anchor a partition.
+    """
+    levels, nodes = [maps], parts
+    above = F.call_function("div", F.col("node"), F.lit(FAN).cast("bigint")).alias("parent")
+    while nodes > FAN:
+        grown = levels[-1].select("*", above).groupBy("ip", "parent").applyInPandas(composed(ttl), _MAP)
+        levels.append(stored(grown, "rate-maps"))
+        nodes = -(-nodes // FAN)
+    known = None
+    for level in reversed(levels):
+        rows = level.select("*", above)
+        if known is None:
+            rows = rows.withColumn("incoming", F.lit(NEVER).cast("bigint"))
+        else:
+            rows = rows.join(known.withColumnRenamed("node", "parent"), ["ip", "parent"])
+        known = rows.groupBy("ip", "parent").applyInPandas(handed_down(ttl), "ip string, node bigint, incoming bigint")
+    return {row.node: row.incoming for row in known.where(F.col("incoming") != NEVER).collect()}
+
+
+def _anchored_by_maps(ticks: DataFrame, ttl: int) -> DataFrame:
+    """(ip, arrival, n, carried, anchor): every tick with the anchor of its window.
+
+    `ticks` are sorted by address and arrival; their column part numbers the partitions in that order."""
+    maps = stored(ticks.mapInPandas(boundary_maps(ttl), _MAP), "rate-maps")
+    last = maps.agg(F.max("node")).first()[0]
+    incoming = {} if last is None else _incoming(maps, ttl, last + 1)
+    return ticks.mapInPandas(placed(ttl, incoming), "ip string, arrival bigint, n bigint, carried bigint, anchor bigint")
 
 
 def _anchored_in_rounds(ticks: DataFrame, ttl: int, rounds: int) -> DataFrame:
@@ -108,24 +128,21 @@ def rate_windows(
     `cut` is null while the limit holds. Otherwise `cut.arrival` is the first arrival with an event over the limit,
     and the first `cut.keep` events of that arrival still pass. `carried` counts events that were already let through
     or dropped before this table begins; they come first within their arrival. `time_range` holds the first and the
-    last arrival where the caller knows them; a range of a few windows needs no chunks.
+    last arrival where the caller knows them; a range of a few windows needs no maps.
     """
     if time_range is not None:
         rounds = (time_range[1] - time_range[0]) // (ttl + 1) + 1
         if rounds <= _MAX_ROUNDS:
             return store(_summed(_anchored_in_rounds(ticks, ttl, rounds), limit))
-    span = _WINDOWS_PER_CHUNK * (ttl + 1)
-    by_chunk = (
-        ticks.withColumn("chunk", cell(F.col("arrival"), span))
-        .repartition("ip", "chunk")
-        .sortWithinPartitions("ip", "chunk", "arrival")
-    )
+    parts = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = ticks.repartitionByRange(parts, "ip", "arrival").sortWithinPartitions("ip", "arrival")
+    in_order = in_order.withColumn("part", F.spark_partition_id())
     # Read twice, before and after the chain is known.
-    by_chunk.persist()
+    in_order.persist()
     try:
-        return store(_summed(_anchored_in_chunks(by_chunk, ttl, span), limit))
+        return store(_summed(_anchored_by_maps(in_order, ttl), limit))
     finally:
-        by_chunk.unpersist()
+        in_order.unpersist()
 
 
 def blocks(

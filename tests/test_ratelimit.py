@@ -1,13 +1,23 @@
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from models import rate_verdicts
+from pyspark.sql import functions as F
 
-from querytide.functions.anchors import chain_chunks, chunk_exits, place_anchors, whole_chunks
+from querytide.functions.anchors import NEVER, StretchMap, boundary_maps, composed, handed_down, placed
 from querytide.operators import ratelimit
 from querytide.operators.ratelimit import rate_windows, with_rate_verdict
 
+@pytest.fixture
+def parts_of(spark):
+    """Sets the number of partitions for one test."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    yield lambda parts: spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 COLUMNS = "seq bigint, ip string, arrival bigint"
 
 
@@ -50,9 +60,10 @@ def test_dropped_events_do_not_extend_the_block(spark):
     assert [s for s, ok in sorted(got.items()) if ok] == [0, 1, 10, 11, 20, 21, 30, 31]
 
 
-@pytest.mark.parametrize(("seed", "chunk"), [(1, 1), (2, 2), (3, 3), (4, 256), (5, 1), (6, 7)])
-def test_equals_sequential_model(spark, monkeypatch, seed, chunk):
-    monkeypatch.setattr(ratelimit, "_WINDOWS_PER_CHUNK", chunk)
+@pytest.mark.parametrize(("seed", "fan", "parts"), [(1, 2, 7), (2, 2, 2), (3, 3, 12), (4, 64, 5), (5, 2, 1), (6, 2, 9)])
+def test_equals_sequential_model(spark, parts_of, monkeypatch, seed, fan, parts):
+    monkeypatch.setattr(ratelimit, "FAN", fan)
+    parts_of(parts)
     rng = random.Random(seed)
     ttl, limit, span = rng.choice([(3, 2, 80), (10, 4, 400), (7, 1, 200)])
     events = []
@@ -64,53 +75,98 @@ def test_equals_sequential_model(spark, monkeypatch, seed, chunk):
     assert verdicts(spark, events, limit, ttl) == rate_verdicts(events, limit, ttl)
 
 
-def anchors_by_chunks(arrivals, ttl, chunk_windows, batch):
-    """The three chunk steps on one address, fed in batches of `batch` rows."""
-    span = chunk_windows * (ttl + 1)
-    ticks = pd.DataFrame({"ip": "a", "arrival": sorted(set(arrivals))})
-    ticks["chunk"] = ticks["arrival"] // span
-    ticks["n"], ticks["carried"] = 1, 0
+def walked(arrivals, ttl, anchor=None):
+    """{arrival: anchor of its window}, one arrival after another."""
+    out = {}
+    for arrival in arrivals:
+        if anchor is None or arrival - anchor > ttl:
+            anchor = arrival
+        out[arrival] = anchor
+    return out
 
-    def batches(frame):
-        return (frame.iloc[i : i + batch].reset_index(drop=True) for i in range(0, len(frame), batch))
 
-    exits = pd.concat(chunk_exits(ttl, span)(batches(ticks)), ignore_index=True)
-    incoming = pd.concat(chain_chunks(ttl)(batches(exits)), ignore_index=True)
-    placed = pd.concat(place_anchors(ttl, span)(batches(ticks.merge(incoming, on=["ip", "chunk"]))))
-    return dict(zip(placed["arrival"].tolist(), placed["anchor"].tolist())), exits
+def random_arrivals(rng):
+    return sorted({rng.randrange(rng.choice([50, 300, 3000])) for _ in range(rng.randrange(1, 400))})
 
 
 @pytest.mark.parametrize("seed", range(40))
-def test_chunked_chain_equals_walk(seed):
+def test_maps_of_stretches_compose_in_any_grouping(seed):
     rng = random.Random(seed)
-    ttl, chunk_windows = rng.randrange(1, 12), rng.randrange(1, 6)
-    arrivals = [rng.randrange(rng.choice([50, 300, 3000])) for _ in range(rng.randrange(1, 400))]
-    got, _ = anchors_by_chunks(arrivals, ttl, chunk_windows, rng.choice([1, 3, 50, 10_000]))
-    anchor, want = None, {}
-    for arrival in sorted(set(arrivals)):
-        if anchor is None or arrival - anchor > ttl:
-            anchor = arrival
-        want[arrival] = anchor
-    assert got == want
+    ttl, arrivals = rng.choice([1, 3, 11, 200]), random_arrivals(rng)
+    cuts = sorted({0, *(rng.randrange(len(arrivals)) for _ in range(rng.randrange(9)))})
+    stretches = [np.array(arrivals[a:b]) for a, b in zip(cuts, [*cuts[1:], len(arrivals)])]
+    maps = [StretchMap.of(s, ttl) for s in stretches]
+    while len(maps) > 1:
+        at = rng.randrange(len(maps) - 1)
+        maps[at : at + 2] = [maps[at].then(maps[at + 1], ttl)]
+    starts = [NEVER, *range(arrivals[0] - ttl - 2, arrivals[0])]
+    want = [walked(arrivals, ttl, None if a == NEVER else a)[arrivals[-1]] for a in starts]
+    assert maps[0](np.array(starts), ttl).tolist() == want
 
 
-def test_summaries_are_much_smaller_than_a_dense_time_line():
-    arrivals = range(200_000)
-    _, exits = anchors_by_chunks(arrivals, 9, 256, 10_000)
-    assert len(exits) <= 200_000 / 256 + 10
+@pytest.mark.parametrize("seed", range(40))
+def test_scan_over_partitions_equals_walk(seed):
+    """All steps on sorted partitions, fed in batches, with a tree of fan 2."""
+    rng = random.Random(seed)
+    ttl, batch = rng.randrange(1, 30), rng.choice([1, 3, 50, 10_000])
+    times = {ip: random_arrivals(rng) for ip in "abc"[: rng.randrange(1, 4)]}
+    ticks = pd.DataFrame([(ip, t) for ip, own in times.items() for t in own], columns=["ip", "arrival"])
+    ticks["n"], ticks["carried"] = 1, 0
+    ticks["part"] = np.sort([rng.randrange(9) for _ in range(len(ticks))])
 
+    def batches(frame):
+        return (frame.iloc[i : i + batch].reset_index(drop=True) for i in range(0, len(frame), batch))
 
-def test_batches_are_regrouped_intowhole_chunks():
-    frame = pd.DataFrame({"ip": ["a"] * 5 + ["b"] * 3, "chunk": [0, 0, 0, 1, 1, 1, 1, 2]})
-    for size in range(1, 9):
-        parts = list(whole_chunks(frame.iloc[i : i + size] for i in range(0, 8, size)))
-        keys = [set(zip(p["ip"], p["chunk"])) for p in parts]
-        assert sum(len(k) for k in keys) == len(set().union(*keys)) == 4
-        assert sum(len(p) for p in parts) == 8
+    def grouped(frame, step):
+        groups = frame.groupby(["ip", frame["node"] // 2])
+        return pd.concat([step(key, rows) for key, rows in groups], ignore_index=True)
+
+    parts = [frame for _, frame in ticks.groupby("part")]
+    levels = [pd.concat([x for p in parts for x in boundary_maps(ttl)(batches(p))], ignore_index=True)]
+    assert len(levels[0]) <= 2 * len(parts)
+    while levels[-1]["node"].max() > 1:
+        levels.append(grouped(levels[-1], composed(ttl)))
+    known = None
+    for level in reversed(levels):
+        level = level.assign(incoming=NEVER) if known is None else level.assign(node_=level["node"] // 2).merge(
+            known.rename(columns={"node": "node_"}), on=["ip", "node_"]
+        )
+        known = grouped(level, handed_down(ttl))
+    incoming = {r.node: r.incoming for r in known.itertuples() if r.incoming != NEVER}
+    got = pd.concat([x for p in parts for x in placed(ttl, incoming)(batches(p))])
+    for ip, own in times.items():
+        mine = got[got["ip"] == ip]
+        assert dict(zip(mine["arrival"].tolist(), mine["anchor"].tolist())) == walked(own, ttl)
+
+
+def test_maps_hold_a_window_at_most():
+    for ttl in (1, 9, 1000):
+        whole = StretchMap.of(np.arange(20_000), ttl)
+        assert len(whole.entries) <= ttl + 2
+        halves = StretchMap.of(np.arange(10_000), ttl).then(StretchMap.of(np.arange(10_000, 20_000), ttl), ttl)
+        assert halves.entries.tolist() == whole.entries.tolist() and halves.exits.tolist() == whole.exits.tolist()
+
+
+def test_one_address_with_all_events_is_cut_like_any_rows(spark, monkeypatch):
+    """A millisecond clock: no task sees more than its share of the arrivals, and none all maps."""
+    monkeypatch.setattr(ratelimit, "FAN", 4)
+    events = [("hot", 3 * k + k % 2, k) for k in range(6000)]
+    rows = spark.createDataFrame([(seq, ip, arrival) for ip, arrival, seq in events], COLUMNS)
+    ticks = ratelimit.tick_counts(rows).repartitionByRange(24, "ip", "arrival").sortWithinPartitions("ip", "arrival")
+    ticks = ticks.withColumn("part", F.spark_partition_id()).persist()
+    shares = [r["count"] for r in ticks.groupBy("part").count().collect()]
+    assert len(shares) == 24 and max(shares) < 4 * 6000 / 24
+    levels = []
+    keep = ratelimit.stored
+    monkeypatch.setattr(ratelimit, "stored", lambda df, name: levels.append(keep(df, name)) or levels[-1])
+    got = {r.arrival: r.anchor for r in ratelimit._anchored_by_maps(ticks, 1000).collect()}
+    assert got == walked([arrival for _, arrival, _ in events], 1000)
+    assert [level.count() for level in levels] == [24, 6, 2]
+    ticks.unpersist()
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_rounds_equal_chunks(spark, seed):
+def test_rounds_equal_the_scan(spark, seed):
     rng = random.Random(seed)
     ttl, limit, span = rng.choice([(9, 3, 80), (4, 1, 33), (9, 2, 8)])
     rows = {(rng.choice("abcdef"), 1000 + rng.randrange(span)): (rng.randrange(1, 5), rng.choice([0, 0, 2])) for _ in range(90)}
@@ -123,6 +179,6 @@ def test_rounds_equal_chunks(spark, seed):
     def collected(windows):
         return sorted(map(str, windows.select("ip", "anchor", "n", "cut").collect()))
 
-    chunked = rate_windows(ticks, limit, ttl, collected)
-    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times))) == chunked
-    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times) + 1000 * ttl)) == chunked
+    scanned = rate_windows(ticks, limit, ttl, collected)
+    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times))) == scanned
+    assert rate_windows(ticks, limit, ttl, collected, (min(times), max(times) + 1000 * ttl)) == scanned
