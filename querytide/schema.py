@@ -49,6 +49,11 @@ BATCH_COUNTS = T.StructType(
 
 BUCKET_COUNTS = T.StructType(BATCH_COUNTS.fields[1:])
 
+# Changes of a query's window count at a window end.
+CHANGES = T.StructType(
+    [T.StructField("query", T.StringType()), T.StructField("tick", T.LongType()), T.StructField("delta", T.LongType())]
+)
+
 # Rate-limit windows of one micro-batch.
 RATE_WINDOWS = T.StructType(
     [
@@ -61,5 +66,12 @@ RATE_WINDOWS = T.StructType(
     ]
 )
 
-# Latest arrival that a stream has seen, in milliseconds.
-CLOCK = T.StructType([T.StructField("clock", T.LongType()), T.StructField("stop_version", T.LongType())])
+# Counts of the generation that each slot of a ring holds.
+RING = T.StructType(
+    [
+        T.StructField("slot", T.LongType()),
+        T.StructField("generation", T.LongType()),
+        T.StructField("query", T.StringType()),
+        T.StructField("count", T.LongType()),
+    ]
+)

@@ -67,11 +67,11 @@ def latest_id(spark: SparkSession, path: str) -> int | None:
     return _snapshots(spark, path).agg(F.max("snapshot_id")).first()[0]
 
 
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest envelope; one row with an empty list before the first snapshot."""
+def latest(spark: SparkSession, path: str, asked_at: Column | None = None) -> DataFrame:
+    """The newest envelope; before the first snapshot one row with an empty list and the time asked for, now."""
     empty = spark.range(1).select(
         F.lit(-1).cast("bigint").alias("snapshot_id"),
-        F.current_timestamp().alias("updated_at"),
+        (F.current_timestamp() if asked_at is None else asked_at).alias("updated_at"),
         F.array().cast(SNAPSHOT["data"].dataType).alias("data"),
     )
     newest = _snapshots(spark, path).unionByName(empty).orderBy(F.desc("snapshot_id")).limit(1)
@@ -88,7 +88,7 @@ def top_queries(spark: SparkSession, path: str, limit: int | None = None) -> Dat
     return published_top(spark, path, requested_limit(limit))
 
 
-def published_json(spark: SparkSession, path: str) -> DataFrame:
+def published_json(spark: SparkSession, path: str, asked_at: Column | None = None) -> DataFrame:
     """The newest envelope as compact JSON, whole."""
     body = F.to_json(F.struct("data", rfc3339(F.col("updated_at")).alias("updated_at")))
-    return latest(spark, path).select(body.alias("body"))
+    return latest(spark, path, asked_at).select(body.alias("body"))

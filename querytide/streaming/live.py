@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 from dataclasses import dataclass, field
@@ -14,8 +15,10 @@ from querytide.operators.chain import ANTIFRAUD
 from querytide.operators.counts import live
 from querytide.operators.ratelimit import label, rate_windows, tick_counts
 from querytide.plans.trending import reason_counts, top_of_counts
-from querytide.schema import BATCH_COUNTS, BUCKET_COUNTS, CLOCK, RATE_WINDOWS
+from querytide.schema import BATCH_COUNTS, BUCKET_COUNTS, RATE_WINDOWS
 from querytide.settings import Settings
+from querytide.sources.countstore import CountStore
+from querytide.sources.files import SharedFiles
 from querytide.sources.messages import arrival_millis, parse
 from querytide.sources.published import latest_id, publish
 from querytide.sources.slots import SlottedTable
@@ -24,6 +27,10 @@ from querytide.sources.stopwords import current_version, read_stop_words
 MALFORMED = "malformed"
 
 _LOCKS: dict[str, threading.Lock] = {}
+# The newest snapshot of each published list, once this driver has published one.
+_NEWEST: dict[str, int] = {}
+# Batches whose state is kept.
+_STATES = 4
 
 # Messages are ordered by arrival; these tell messages of one arrival apart.
 _ORDER = ("partition", "offset")
@@ -53,9 +60,9 @@ class LiveJob:
         return f"{self.path}/top"
 
     @property
-    def counts_path(self) -> str:
-        """(drop_reason, bucket_start, query, count) of every micro-batch, one folder each."""
-        return f"{self.path}/counts"
+    def counts(self) -> CountStore:
+        """(drop_reason, bucket_start, query, count) of all micro-batches."""
+        return CountStore(f"{self.path}/counts", BATCH_COUNTS, self.settings.window)
 
     @property
     def quarantine_path(self) -> str:
@@ -65,9 +72,9 @@ class LiveJob:
     def _windows(self) -> SlottedTable:
         return SlottedTable(f"{self.path}/state/windows", RATE_WINDOWS)
 
-    @property
-    def _clock(self) -> SlottedTable:
-        return SlottedTable(f"{self.path}/state/clock", CLOCK)
+    def _state(self, spark: SparkSession) -> SharedFiles:
+        """What is known of each of the last batches: its clock, and the version of the stop list it was counted with."""
+        return SharedFiles(spark, f"{self.path}/state/batches")
 
     @property
     def _live(self) -> SlottedTable:
@@ -86,12 +93,16 @@ class LiveJob:
         try:
             arrival = arrival_millis(F.col("timestamp"))
             first, latest, bad = parsed.agg(F.min(arrival), F.max(arrival), F.count("bad_reason")).first()
-            before = self._clock.read(spark, batch_id - 1).agg(F.max("clock")).first()[0] or 0
+            state = self._state(spark)
+            before = json.loads(state.read(str(batch_id - 1)) or '{"clock": 0}')["clock"]
             clock = max(latest or 0, before)
             # A message without a broker time counts as arriving last; it must not move the clock to the epoch.
             first = max(clock if first is None else first, before)
-            version = self._stop_version(spark, batch_id)
-            self._clock.write(spark.createDataFrame([(clock, version)], CLOCK), batch_id)
+            # A repeated batch uses the stop list that it had when it ran first.
+            again = state.read(str(batch_id))
+            version = json.loads(again)["stop_version"] if again else current_version(spark, self.stop_words)
+            state.write(str(batch_id), json.dumps({"clock": clock, "stop_version": version}))
+            state.delete(str(batch_id - _STATES))
             if bad:
                 self._set_aside(parsed, batch_id)
             words = read_stop_words(spark, self.stop_words, version)
@@ -114,14 +125,6 @@ class LiveJob:
         writer = beats.writeStream.foreachBatch(lambda rows, _: self.tick(rows.sparkSession, int(time.time())))
         return writer.trigger(processingTime=f"{self.settings.tick} seconds").start()
 
-    def _stop_version(self, spark: SparkSession, batch_id: int) -> int:
-        """The stop list's version of a batch: the one it had when it ran first, or else the newest."""
-        newest = self._clock.latest_batch(spark)
-        known = None
-        if newest is not None and newest >= batch_id:
-            known = self._clock.read(spark, batch_id).agg(F.max("stop_version")).first()[0]
-        return current_version(spark, self.stop_words) if known is None else known
-
     def _set_aside(self, parsed: DataFrame, batch_id: int) -> None:
         bad = parsed.where(F.col("bad_reason").isNotNull()).select("value", "bad_reason", *_ORDER)
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
@@ -172,9 +175,7 @@ class LiveJob:
                     F.lit(bad).cast("bigint").alias("count"),
                 )
             )
-        path = f"{self.counts_path}/batch_id={batch_id}"
-        counts.write.mode("overwrite").parquet(path)
-        return spark.read.schema(BATCH_COUNTS).parquet(path)
+        return self.counts.write(counts, batch_id)
 
     def _publish(self, spark: SparkSession, counts: DataFrame, batch_id: int, as_of: int) -> None:
         added = counts.where(F.col("drop_reason").isNull()).drop("drop_reason")
@@ -186,5 +187,9 @@ class LiveJob:
     def _publish_top(self, counts: DataFrame, as_of: int) -> None:
         """Publish under an id above all others, so that the newest snapshot is never written over."""
         top = top_of_counts(counts, self.settings, as_of)
-        newest = latest_id(counts.sparkSession, self.top_path)
-        publish(top, self.top_path, 0 if newest is None else newest + 1, F.timestamp_seconds(F.lit(as_of)))
+        newest = _NEWEST.get(self.top_path)
+        if newest is None:
+            newest = latest_id(counts.sparkSession, self.top_path)
+        snapshot = 0 if newest is None else newest + 1
+        publish(top, self.top_path, snapshot, F.timestamp_seconds(F.lit(as_of)))
+        _NEWEST[self.top_path] = snapshot

@@ -252,6 +252,46 @@ FROM searches
     "stream_drop_counts": f"""
 {_LIVE_CHAIN}
 SELECT drop_reason, count(*) AS dropped FROM reasons WHERE drop_reason IS NOT NULL GROUP BY drop_reason
+""",
+    "stream_compacted_counts": f"""
+{_LIVE_CHAIN}
+SELECT timestamp // 3600 * 3600 AS bucket_start, query, count(*) AS count FROM reasons, latest
+WHERE drop_reason IS NULL AND timestamp // 3600 * 3600 > as_of - 86400 GROUP BY ALL
+""",
+    "stream_rate_verdicts": f"""
+WITH RECURSIVE {_SEARCHES}, {_rate('searches', 86400, 3)} SELECT seq, rate_ok FROM rated
+""",
+    "stopwords_two_editors": """
+SELECT p_name AS word FROM part WHERE p_size <= 10
+EXCEPT SELECT p_name FROM part WHERE p_size <= 10 AND regexp_matches(p_brand, '[123]$')
+UNION SELECT lower(p_name) FROM part WHERE p_size BETWEEN 11 AND 40
+""",
+    "published_before_the_first_list": f"""
+WITH {_SEARCHES}
+SELECT '{{"data":[],"updated_at":"' || strftime(make_timestamp(as_of * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '"}}' AS body
+FROM latest
+""",
+    "top_requests": f"""
+WITH {_SEARCHES}, {_SNAPSHOT}, n AS (SELECT count(*) AS n FROM snapshot),
+requests AS (SELECT unnest([NULL, -1, 0, 1, 7, 100, 101])::INTEGER AS requested)
+SELECT requested, CASE WHEN coalesce(requested, 50) BETWEEN 1 AND 100
+                       THEN least(n, coalesce(requested, 50)) ELSE 0 END AS rows
+FROM requests, n
+""",
+    "top_n_beyond_the_limit": """
+WITH words AS (SELECT unnest(regexp_split_to_array(lower(text), '\\s+')) AS query FROM conversations)
+SELECT query, count(*) AS count FROM words WHERE query <> ''
+GROUP BY query ORDER BY count DESC, query LIMIT 1000
+""",
+    "stream_resumed_counts": """
+SELECT (event_id % 3)::INTEGER AS partition, count(*) AS messages, sum(event_id)::BIGINT AS offsets
+FROM events GROUP BY ALL
+""",
+    "stream_metrics": f"""
+{_LIVE_CHAIN}
+SELECT 'messages_read' AS metric, count(*) AS value FROM events
+UNION ALL SELECT 'antifraud', count(*) FROM reasons WHERE drop_reason = 'antifraud'
+UNION ALL SELECT 'stoplist', count(*) FROM reasons WHERE drop_reason = 'stoplist'
 """,
     # Closed once the latest event time, less a day for late events, has passed the end.
     "stream_closed_buckets": f"""
@@ -267,3 +307,4 @@ SELECT window_end, query, sum(count)::BIGINT AS count FROM ends
 WHERE window_end <= (SELECT max(timestamp) - 86400 FROM searches) GROUP BY window_end, query
 """,
 }
+ORACLES["stream_ring_counts"] = ORACLES["ring_counts"]

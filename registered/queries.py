@@ -2,26 +2,40 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.errors import WordsNotFoundError
+from querytide.errors import InvalidArgumentError, WordsNotFoundError
 from querytide.functions.text import normalise_word
 from querytide.functions.times import bucket_start, rfc3339, slot
 from querytide.operators import counts, ranking, sliding, stoplist
-from querytide.operators.chain import chain, kept, rate_filter, standard_chain, stop_filter
+from querytide.operators.chain import ANTIFRAUD, STOPLIST, chain, kept, rate_filter, standard_chain, stop_filter
 from querytide.operators.ratelimit import with_rate_verdict
 from querytide.operators.ring import ring_snapshot
 from querytide.plans.trending import filtered_counts, top_of_counts, trending
 from querytide.session import shared_folder
 from querytide.sources import messages as message_source
-from querytide.sources.published import envelope_json, publish, top_queries
-from querytide.sources.stopwords import create_stop_words, words_table
+from querytide.sources.files import SharedFiles
+from querytide.sources.messagelog import append_messages, read_message_log
+from querytide.sources.published import envelope_json, publish, published_json, top_queries
+from querytide.sources.stopwords import (
+    add_stop_words,
+    create_stop_words,
+    delete_stop_words,
+    read_stop_words,
+    words_table,
+)
+from querytide.streaming import limits
 from querytide.streaming.live import LiveJob
-from querytide.streaming.windows import add_bucket_counts, closed_buckets, closed_windows
+from querytide.streaming.metrics import BatchMetrics, totals
+from querytide.streaming.ring import RingJob
+from querytide.streaming.windows import ClosedCounts
 from registered.views import (
     DAY,
     HOUR,
@@ -34,7 +48,7 @@ from registered.views import (
     table,
 )
 
-#: Micro-batches of the closed counts.
+#: Files of a stream's messages.
 BATCHES = 60
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -294,28 +308,39 @@ def trending_from_counts(spark, sf_dir):
     return top_of_counts(stored_counts, SETTINGS, as_of(events), k=10)
 
 
-def _message_files(spark, sf_dir, folder: str) -> str:
-    """Messages as files, earlier arrivals in earlier files."""
-    path = f"{folder}/messages"
+def _message_files(spark, sf_dir, path: str, files: int, part: int = 0, parts: int = 1) -> None:
+    """Messages as files, earlier arrivals in earlier files: the part-th of `parts` equal stretches of arrivals."""
     source = kafka_messages(spark, sf_dir)
     first, last = source.agg(F.min("timestamp"), F.max("timestamp")).first()
-    third = (last - first) / 3
-    bounds = [first, first + third, first + 2 * third, None]
-    for low, high in zip(bounds, bounds[1:]):
-        part = source.where(F.col("timestamp") >= low)
-        part = part if high is None else part.where(F.col("timestamp") < high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    length = (last - first) / parts
+    if part:
+        source = source.where(F.col("timestamp") >= first + part * length)
+    if part < parts - 1:
+        source = source.where(F.col("timestamp") < first + (part + 1) * length)
+    before = set(SharedFiles(spark, path).names())
+    source.repartitionByRange(files, "timestamp").write.mode("append").parquet(path)
+    written = SharedFiles(spark, path)
+    # File streams take files by their time; names follow the order of the ranges.
+    start = int(time.time() * 1000) - 1_000_000 * (parts - part)
+    for k, name in enumerate(n for n in written.names() if n not in before):
+        written.stamp(name, start + 1000 * k)
+
+
+def _messages(spark, path: str, files: int):
+    return message_source.read_message_files(spark, path, files_per_trigger=files)
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _run_live(spark, sf_dir) -> LiveJob:
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    """The live job over three micro-batches of eight files."""
+    folder = _folder(spark, "stream")
     create_stop_words(spark, f"{folder}/stop-words", words_table(spark, STOP_WORDS))
     job = LiveJob(f"{folder}/job", f"{folder}/stop-words", SETTINGS, follow_arrivals=True)
-    path = _message_files(spark, sf_dir, folder)
-    stream = message_source.read_message_files(spark, path, files_per_trigger=1)
-    query = job.start(stream, availableNow=True)
-    query.awaitTermination()
+    _message_files(spark, sf_dir, f"{folder}/messages", 24)
+    job.start(_messages(spark, f"{folder}/messages", 8), availableNow=True).awaitTermination()
     return job
 
 
@@ -326,26 +351,163 @@ def stream_trending(spark, sf_dir):
 
 def stream_drop_counts(spark, sf_dir):
     """Drop counts of the live job, summed over its micro-batches."""
-    written = spark.read.parquet(_run_live(spark, sf_dir).counts_path)
-    return counts.drop_counts(written, F.col("count"))
-
-
-def _closed_counts(spark, sf_dir) -> str:
-    """The messages in 60 files by arrival, each a micro-batch, counted into a table."""
-    folder = f"{shared_folder(spark)}/closed-{uuid.uuid4().hex}"
+    return counts.drop_counts(_run_live(spark, sf_dir).counts.read(spark), F.col("count"))
+
+
+def stream_compacted_counts(spark, sf_dir):
+    """Counts of the window, after the live job's batches were compacted and older buckets deleted."""
+    job, latest = _run_live(spark, sf_dir), as_of(search_events(spark, sf_dir))
+    last = spark.range(1).select(latest.alias("as_of")).first()["as_of"]
+    job.counts.compact(spark, expired=last - DAY)
+    kept = job.counts.read(spark, after=last - DAY).where("drop_reason IS NULL")
+    return kept.groupBy("bucket_start", "query").agg(F.sum("count").alias("count"))
+
+
+def stream_rate_verdicts(spark, sf_dir):
+    """The rate limit as keyed state: half of the files, a restart from the checkpoint, the other half."""
+    folder = _folder(spark, "verdicts")
+    for half in (0, 1):
+        _message_files(spark, sf_dir, f"{folder}/messages", BATCHES // 2, half, 2)
+        stream = _messages(spark, f"{folder}/messages", 1)
+        arrived = stream.withColumn("arrival", F.unix_seconds("timestamp"))
+        events = message_source.decode(arrived).select(F.col("offset").alias("seq"), "ip", "arrival")
+        judged = limits.with_rate_verdict(events, SETTINGS.rate_limit, SETTINGS.rate_ttl).select("seq", "rate_ok")
+        writer = judged.writeStream.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+        writer.format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("seq bigint, rate_ok boolean").parquet(f"{folder}/out")
+
+
+def stream_ring_counts(spark, sf_dir):
+    """The ring across micro-batches in order of arrival."""
+    folder = _folder(spark, "ring")
+    _message_files(spark, sf_dir, f"{folder}/messages", BATCHES)
+    events = message_source.decode(_messages(spark, f"{folder}/messages", 6))
+    job = RingJob(f"{folder}/job", DAY, HOUR, order=("offset",))
+    job.start(events, availableNow=True).awaitTermination()
+    return job.snapshot(spark, as_of(search_events(spark, sf_dir)))
+
+
+def stream_resumed_counts(spark, sf_dir):
+    """A message log read with bounded fetches, stopped half way and resumed: messages and offsets of every partition."""
+    folder = _folder(spark, "log")
     source = kafka_messages(spark, sf_dir)
-    source.repartitionByRange(BATCHES, "timestamp").write.parquet(f"{folder}/messages")
-    stream = message_source.read_message_files(spark, f"{folder}/messages", files_per_trigger=1)
-    add_bucket_counts(message_source.decode(stream), folder, HOUR, availableNow=True).awaitTermination()
-    return folder
+    append_messages(source, f"{folder}/messages", files=8)
+    total = source.count()
+    # About a sixth of the log's row groups, which hold the messages uncompressed, in a fetch.
+    size = source.agg(F.sum(F.octet_length("value") + F.octet_length("key") + 40)).first()[0]
+
+    def count(batch: DataFrame, batch_id: int) -> None:
+        found = batch.groupBy("partition").agg(F.count("*").alias("messages"), F.sum("offset").alias("offsets"))
+        found.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    def run():
+        stream = read_message_log(spark, f"{folder}/messages", group="counts", fetch_bytes=max(1, size // 6))
+        writer = stream.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/checkpoint")
+        return writer.trigger(processingTime="0 seconds").start()
+
+    first = run()
+    while first.isActive and sum(p.numInputRows for p in first.recentProgress) * 2 < total:
+        first.awaitTermination(1)
+    first.stop()
+    second = run()
+    second.processAllAvailable()
+    second.stop()
+    written = spark.read.schema("partition int, messages bigint, offsets bigint").parquet(f"{folder}/out")
+    return written.groupBy("partition").agg(F.sum("messages").alias("messages"), F.sum("offsets").alias("offsets"))
+
+
+def stream_metrics(spark, sf_dir):
+    """Totals of what a stream of both filters has observed, as a listener has written them batch by batch."""
+    folder = _folder(spark, "metrics")
+    _message_files(spark, sf_dir, f"{folder}/messages", 24)
+    seen = _messages(spark, f"{folder}/messages", 4).observe("intake", F.count("*").alias("messages_read"))
+    arrived = seen.withColumn("arrival", message_source.arrival_millis(F.col("timestamp")))
+    events = message_source.decode(arrived).select("offset", "ip", "arrival", "query")
+    rated = limits.with_rate_verdict(events, SETTINGS.rate_limit, SETTINGS.rate_ttl * 1000, order=("offset",))
+    words = [row.word for row in _words(spark).collect()]
+    reason = F.when(~F.col("rate_ok"), ANTIFRAUD).when(~stoplist.stop_predicate(F.col("query"), words), STOPLIST)
+    labelled = rated.select("offset", reason.alias("drop_reason"))
+    dropped = [F.count_if(F.col("drop_reason") == name).alias(name) for name in (ANTIFRAUD, STOPLIST)]
+    name = f"metrics-{uuid.uuid4().hex}"
+    listener = BatchMetrics(spark, f"{folder}/metrics", name)
+    spark.streams.addListener(listener)
+    try:
+        writer = labelled.observe("drops", *dropped).writeStream.queryName(name).format("parquet")
+        writer = writer.option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.wait_for(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return totals(spark, f"{folder}/metrics")
+
+
+def _closed_counts(spark, sf_dir) -> ClosedCounts:
+    """The messages in 60 files by arrival, five to a micro-batch, counted into tables."""
+    folder = _folder(spark, "closed")
+    _message_files(spark, sf_dir, f"{folder}/messages", BATCHES)
+    job = ClosedCounts(f"{folder}/job", DAY, HOUR, DAY)
+    events = message_source.decode(_messages(spark, f"{folder}/messages", 5))
+    job.start(events, availableNow=True).awaitTermination()
+    return job
 
 
 def stream_closed_buckets(spark, sf_dir):
-    return closed_buckets(spark, _closed_counts(spark, sf_dir), HOUR, DAY)
+    return _closed_counts(spark, sf_dir).buckets(spark)
 
 
 def stream_closed_windows(spark, sf_dir):
-    return closed_windows(spark, _closed_counts(spark, sf_dir), DAY, HOUR, DAY)
+    return _closed_counts(spark, sf_dir).windows(spark)
+
+
+def stopwords_two_editors(spark, sf_dir):
+    """The list after two editors have changed it at the same time, each in several edits."""
+    path, part = _folder(spark, "edited"), table(spark, sf_dir, "part")
+    create_stop_words(spark, path, part.where("p_size <= 10").select(F.col("p_name").alias("word")))
+
+    def add() -> None:
+        for size in (20, 30, 40):
+            rows = part.where(F.col("p_size").between(size - 9, size))
+            add_stop_words(spark, path, rows.select(F.upper("p_name").alias("word")))
+
+    def delete() -> None:
+        for brand in (1, 2, 3):
+            rows = part.where((F.col("p_size") <= 10) & F.endswith("p_brand", F.lit(str(brand))))
+            delete_stop_words(spark, path, rows.select(F.col("p_name").alias("word")))
+
+    with ThreadPoolExecutor() as both:
+        for edit in [both.submit(add), both.submit(delete)]:
+            edit.result()
+    return read_stop_words(spark, path)
+
+
+def published_before_the_first_list(spark, sf_dir):
+    """What a client gets while nothing is published: an empty list, and the time it was asked for."""
+    asked = as_of(search_events(spark, sf_dir))
+    return published_json(spark, _folder(spark, "none"), F.timestamp_seconds(asked))
+
+
+def top_requests(spark, sf_dir):
+    """Rows that requests with different limits get; 0 where the limit is refused."""
+    path = _folder(spark, "top")
+    events = search_events(spark, sf_dir)
+    publish(ranking.top_k(_snapshot(spark, sf_dir), SETTINGS.top_limit), path, 1, F.timestamp_seconds(as_of(events)))
+
+    def rows(limit: int | None):
+        try:
+            return top_queries(spark, path, limit).agg(F.count("*").alias("rows"))
+        except InvalidArgumentError:
+            return spark.range(1).select(F.lit(0).cast("bigint").alias("rows"))
+
+    answers = [rows(n).select(F.lit(n).cast("int").alias("requested"), "rows") for n in (None, -1, 0, 1, 7, 100, 101)]
+    return reduce(DataFrame.unionByName, answers)
+
+
+def top_n_beyond_the_limit(spark, sf_dir):
+    """The most frequent words of all conversations: more than a list holds, so that its limit cuts."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower("text"), r"\s+")).alias("query"))
+    counted = words.where("query <> ''").groupBy("query").agg(F.count("*").alias("count"))
+    return ranking.trim(ranking.top_k(counted, SETTINGS.top_limit), 0)
 
 
 QUERIES: dict[str, Query] = {
@@ -389,8 +551,17 @@ QUERIES: dict[str, Query] = {
         scalar_functions,
         trending_searches,
         trending_from_counts,
+        stopwords_two_editors,
+        published_before_the_first_list,
+        top_requests,
+        top_n_beyond_the_limit,
         stream_trending,
         stream_drop_counts,
+        stream_compacted_counts,
+        stream_rate_verdicts,
+        stream_ring_counts,
+        stream_resumed_counts,
+        stream_metrics,
         stream_closed_buckets,
         stream_closed_windows,
     )

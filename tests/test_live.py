@@ -14,7 +14,7 @@ from querytide.sources.messages import encode, read_message_files
 from querytide.sources.published import latest, published_top
 from querytide.sources.stopwords import add_stop_words, create_stop_words, words_table
 from querytide.streaming.live import LiveJob
-from querytide.streaming.windows import add_bucket_counts, closed_buckets, closed_windows
+from querytide.streaming.windows import ClosedCounts
 
 SETTINGS = Settings(rate_limit=3, rate_ttl=10, bucket=5, window=60, top_limit=5)
 START = 1_700_000_000
@@ -61,7 +61,7 @@ def test_stream_equals_batch(spark, folder):
     events = spark.createDataFrame(good, "seq bigint, arrival bigint, ip string, query string, timestamp bigint")
     want = filtered_counts(events, normalise(words_table(spark, ["скам"])), SETTINGS)
     columns = ["drop_reason", "bucket_start", "query"]
-    got = spark.read.parquet(job.counts_path).groupBy(*columns).agg(F.sum("count").alias("count"))
+    got = job.counts.read(spark).groupBy(*columns).agg(F.sum("count").alias("count"))
     broken = got.where("drop_reason = 'malformed'").first()
     assert broken["count"] == 240 - len(good)
     got = got.where("drop_reason IS DISTINCT FROM 'malformed'")
@@ -111,7 +111,7 @@ def test_message_without_a_broker_time(spark, folder):
     batch = batch.withColumn("timestamp", F.when(F.col("offset") > 0, F.col("timestamp")))
     job.process(batch, 0)
     assert sum(r["count"] for r in published_top(spark, job.top_path).collect()) == SETTINGS.rate_limit
-    counted = {r["drop_reason"]: r["count"] for r in spark.read.parquet(job.counts_path).collect()}
+    counted = {r["drop_reason"]: r["count"] for r in job.counts.read(spark).collect()}
     assert counted["antifraud"] == 9 - SETTINGS.rate_limit
 
 
@@ -139,9 +139,9 @@ def test_closed_counts_do_not_depend_on_the_batches(spark, folder):
     found = []
     for files in (1, 100):
         stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
-        path = f"{folder}/out{files}"
-        add_bucket_counts(stream, path, 5, availableNow=True).awaitTermination()
-        buckets, windows = closed_buckets(spark, path, 5, 30), closed_windows(spark, path, 20, 5, 30)
+        job = ClosedCounts(f"{folder}/out{files}", 20, 5, 30)
+        job.start(stream, availableNow=True).awaitTermination()
+        buckets, windows = job.buckets(spark), job.windows(spark)
         found.append([sorted(map(tuple, t.collect())) for t in (buckets, windows)])
     assert found[0] == found[1]
     last = max(t for t, _ in rows) - 30
