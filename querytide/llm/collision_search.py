@@ -33,7 +33,7 @@ PROJECTIONS = 64
 #: Half-width of a window as a multiple of the distance it has to cover.
 HALF_WIDTH = 1.3
 #: A vector may collide this many standard deviations less often than expected.
-SLACK = 1.0
+SLACK = 1.2
 #: Factor from one window to the next wider one.
 WIDER = 1.5
 #: Queries of a cell, and rows of one set of sorted arrays.

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.llm.common import GAP
+from querytide.llm.common import GAP, fresh
 from querytide.session import stored
 
 #: Fixed values of the base rules: fewest words, most words in repeated windows (percent), words of a window.
@@ -274,12 +274,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that the base rules and the fitted list keep, with all columns of `docs`.
 
-    The list is fitted on the labelled documents among `docs`. The statistics are computed there and again while the
-    documents are filtered, so that no text is written or shuffled."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("s"))
-    rules = fit(counted.select("doc_id", "s.*"), labels)
-
-    def keeps(s: Column) -> Column:
-        return ~base_failed(s["base"]) & (rules.first_rule(s["features"]) == 0)
-
-    return docs.filter(_let(statistics(F.col(text_col)), keeps))
+    The list is fitted on the labelled documents among `docs`. Every text is read once: the rows are written with their
+    statistics, the fit reads those without the texts, and the filter reads both. A null or empty text has no words and
+    is rejected, as are all repeats of a rejected row; null ids are judged by their text and take no part in the fit."""
+    name = fresh(docs.columns, "statistics")
+    counted = stored(docs.withColumn(name, statistics(F.col(text_col))), "documents-and-statistics")
+    rules = fit(counted.select(F.col(id_col).alias("doc_id"), F.col(f"{name}.features").alias("features")), labels)
+    kept = ~base_failed(F.col(f"{name}.base")) & (rules.first_rule(F.col(f"{name}.features")) == 0)
+    return counted.filter(kept).drop(name)

@@ -56,6 +56,16 @@ def repeated_lines(docs, distance, min_chars, measure=lambda a, b, limit: edits(
     return out
 
 
+def line_distance(measure):
+    """The measure where the shorter line allows the edits: two from 24 code points on, one from 12, else none."""
+
+    def far(a, b, limit):
+        few = min(2, min(len(a), len(b)) // 12)
+        return far if (far := measure(a, b, few)) <= few else limit + 1
+
+    return far
+
+
 def covered_words(docs, window=50):
     """{id: flags of the words in windows that start in a document with a smaller id}, in the order of ids."""
     first, out = {}, {}
