@@ -32,8 +32,8 @@ from querytide.session import stored
 
 # Neighbouring functions that one task of the tree composes.
 FAN = 64
-# Up to this many windows' length, anchors are found one after another.
-_MAX_ROUNDS = 16
+# Up to this many windows' length, an address's ticks are not cut.
+_FEW_WINDOWS = 16
 
 
 def tick_counts(events: DataFrame, ip: str = "ip", arrival: str = "arrival") -> DataFrame:
@@ -55,6 +55,7 @@ def suspects(events: DataFrame, limit: int, ttl: int, ip: str = "ip", arrival: s
     return cells.agg(F.count("*").alias("n")).where(F.col("n") * 2 > limit).select("ip").distinct()
 
 
+_ANCHORED = "ip string, arrival bigint, n bigint, carried bigint, anchor bigint"
 _MAP = "ip string, node bigint, first bigint, last bigint, entries array<bigint>, exits array<bigint>"
 
 
@@ -88,21 +89,13 @@ def _anchored_by_maps(ticks: DataFrame, ttl: int) -> DataFrame:
     maps = stored(ticks.mapInPandas(boundary_maps(ttl), _MAP), "rate-maps")
     last = maps.agg(F.max("node")).first()[0]
     incoming = {} if last is None else _incoming(maps, ttl, last + 1)
-    return ticks.mapInPandas(placed(ttl, incoming), "ip string, arrival bigint, n bigint, carried bigint, anchor bigint")
+    return ticks.mapInPandas(placed(ttl, incoming), _ANCHORED)
 
 
-def _anchored_in_rounds(ticks: DataFrame, ttl: int, rounds: int) -> DataFrame:
-    """The same for ticks that lie within `rounds` windows' length, one anchor per address and round.
-
-    An address has at most `rounds` times `ttl + 1` ticks here, so it may be one group.
-    """
-    by_ip = Window.partitionBy("ip")
-    arrival, opened = F.col("arrival"), F.col("_opened")
-    placed = ticks.withColumn("_opened", F.min("arrival").over(by_ip)).withColumn("anchor", opened)
-    for _ in range(rounds - 1):
-        placed = placed.withColumn("_opened", F.min(F.when(arrival > opened + ttl, arrival)).over(by_ip))
-        placed = placed.withColumn("anchor", F.when(arrival >= opened, opened).otherwise(F.col("anchor")))
-    return placed.drop("_opened")
+def _anchored_by_address(ticks: DataFrame, ttl: int) -> DataFrame:
+    """The same for ticks that lie within a few windows' length: an address has few enough to be sorted in one task."""
+    by_address = ticks.withColumn("part", F.lit(0)).repartition("ip").sortWithinPartitions("ip", "arrival")
+    return by_address.mapInPandas(placed(ttl, {}), _ANCHORED)
 
 
 def _summed(anchored: DataFrame, limit: int) -> DataFrame:
@@ -130,10 +123,8 @@ def rate_windows(
     or dropped before this table begins; they come first within their arrival. `time_range` holds the first and the
     last arrival where the caller knows them; a range of a few windows needs no maps.
     """
-    if time_range is not None:
-        rounds = (time_range[1] - time_range[0]) // (ttl + 1) + 1
-        if rounds <= _MAX_ROUNDS:
-            return store(_summed(_anchored_in_rounds(ticks, ttl, rounds), limit))
+    if time_range is not None and (time_range[1] - time_range[0]) // (ttl + 1) < _FEW_WINDOWS:
+        return store(_summed(_anchored_by_address(ticks, ttl), limit))
     parts = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     in_order = ticks.repartitionByRange(parts, "ip", "arrival").sortWithinPartitions("ip", "arrival")
     in_order = in_order.withColumn("part", F.spark_partition_id())

@@ -13,7 +13,9 @@ from querytide.session import stored
 # Word lists up to this many bytes are written into the filter expression; longer ones are joined.
 MAX_INLINE_BYTES = 4_000
 # Length of the pieces a text is cut into before its substrings are listed.
-_PIECE = 256
+_PIECE = 64
+# Bits of the filter of word beginnings: 128 KB, which go with the plan.
+_BITS = 1 << 20
 # Shortest words of the length classes; a class looks up this many characters.
 _CLASSES = (1, 2, 3, 5, 12)
 _HASH = "_text_hash"
@@ -45,20 +47,29 @@ def stop_predicate(text: Column, words: list[str]) -> Column:
     return ~F.coalesce(contains_any(F.lower(text), F.lit(words)), F.lit(False))
 
 
+def short_list(words: DataFrame, max_inline: int = MAX_INLINE_BYTES) -> list[str] | None:
+    """The words, if they take up at most `max_inline` bytes; then there are not more of them than bytes."""
+    short = F.when(F.octet_length("word") <= max_inline, F.col("word"))
+    found = [row.word for row in words.select(short.alias("word")).limit(max_inline + 1).collect()]
+    fits = None not in found and sum(len(word.encode()) for word in found) <= max_inline
+    return found if fits else None
+
+
 def with_stop_verdict(
     rows: DataFrame,
-    words: DataFrame,
+    words: DataFrame | list[str],
     text: str = "query",
     verdict: str = "stop_ok",
     max_inline: int = MAX_INLINE_BYTES,
 ) -> DataFrame:
     """Add a boolean column: false where the text contains a stop word anywhere, also inside a longer word.
 
-    `words` must be normalised. A list of at most `max_inline` bytes is read once and becomes part of the expression,
-    a longer one stays a table and is joined; the verdicts are the same.
+    `words` must be normalised. A list of at most `max_inline` bytes, or one that is given as a list, becomes part of the
+    expression; a longer one stays a table and is joined; the verdicts are the same.
     """
-    if (words.agg(F.sum(F.octet_length("word"))).first()[0] or 0) <= max_inline:
-        return rows.withColumn(verdict, stop_predicate(F.col(text), [row.word for row in words.collect()]))
+    listed = words if isinstance(words, list) else short_list(words, max_inline)
+    if listed is not None:
+        return rows.withColumn(verdict, stop_predicate(F.col(text), listed))
     hits = stored(texts_with_words(rows, words, text), "stop-hits").select(_HASH, F.lit(False).alias(verdict))
     joined = rows.withColumn(_HASH, F.xxhash64(F.lower(text))).join(hits, _HASH, "left").drop(_HASH)
     return joined.withColumn(verdict, F.coalesce(F.col(verdict), F.lit(True)))
@@ -67,10 +78,11 @@ def with_stop_verdict(
 def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") -> DataFrame:
     """Hashes of the lower-cased texts that contain a word of a list of any length.
 
-    Words are looked up by equality joins, the shortest first: words of up to _CLASSES[0] characters by themselves at
-    every position of a text; longer ones, in classes by length, by the characters they begin with, and only in texts
-    without a hit so far. Where a word begins as the text goes on, the text is fetched by its hash and compared with the
-    whole word. So a position costs a hash, a number and a few characters, and no text is shuffled by position.
+    Words are looked up in classes by length, the shortest first, by the characters they begin with, and only in texts
+    without a hit so far. A filter of bits, set by the hashes of a class's beginnings, is tested at every position inside
+    the expression, so a position becomes a row only if a word may begin there. Those are looked up by an equality join;
+    where a word begins as the text goes on, the text is fetched by its hash and compared with the whole word. So such a
+    position costs a hash, a number and a few characters, and no text is shuffled by position.
     """
     words = words.where(F.col("word") != "").select("word", F.char_length("word").alias("_size"))
     texts = rows.select(F.lower(text).alias("_lower")).where("_lower IS NOT NULL").distinct()
@@ -81,7 +93,8 @@ def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") ->
         group = words.where(size >= shortest if longest is None else (size >= shortest) & (size < longest))
         beginnings = group.select("word", F.substr("word", F.lit(1), F.lit(shortest)).alias("_beginning"))
         left = texts if found is None else texts.join(found, _HASH, "left_anti")
-        places = _places(left, shortest).join(beginnings.select("_beginning").distinct(), "_beginning", "left_semi")
+        distinct = stored(beginnings.select("_beginning").distinct(), "stop-beginnings")
+        places = _places(left, shortest, distinct).join(distinct, "_beginning", "left_semi")
         possible = places.join(beginnings, "_beginning").select(_HASH, "_at", "word")
         whole = F.substr("_lower", "_at", F.char_length("word")) == F.col("word")
         hits = left.join(possible, _HASH).where(whole).select(_HASH).distinct()
@@ -89,8 +102,31 @@ def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") ->
     return found
 
 
-def _places(texts: DataFrame, size: int) -> DataFrame:
-    """Each position of a text with the `size` characters from there, cut piece by piece to keep substrings short."""
+def _bit(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), as_column(_BITS))
+
+
+def _bits(beginnings: DataFrame) -> Column:
+    """The filter as an array of 64-bit numbers: a bit is set for the hash of each beginning."""
+    bit = _bit(F.col("_beginning"))
+    numbers = beginnings.select(F.call_function("div", bit, as_column(64)).alias("at"), F.pmod(bit, as_column(64)).alias("bit"))
+    numbers = numbers.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", as_column(1), F.col("bit").cast("int"))).alias("n"))
+    out = [0] * (_BITS // 64)
+    for row in numbers.collect():  # at most one row for each of the filter's numbers
+        out[row["at"]] = row["n"]
+    # Becomes one literal when the plan is optimised.
+    return F.from_json(F.lit(str(out)), "array<bigint>")
+
+
+def _may_begin(bits: Column, bit: Column) -> Column:
+    number = F.get(bits, F.call_function("div", bit, as_column(64)).cast("int"))
+    shifted = F.call_function("shiftrightunsigned", number, F.pmod(bit, as_column(64)).cast("int"))
+    return shifted.bitwiseAND(as_column(1)) == 1
+
+
+def _places(texts: DataFrame, size: int, beginnings: DataFrame) -> DataFrame:
+    """Each position of a text at which a word may begin, with the `size` characters from there. Texts are cut into pieces
+    to keep substrings short."""
     last = F.greatest(F.char_length("_lower") - size, as_column(-1)) + 1
     starts = F.sequence(as_column(0), F.greatest(last - 1, as_column(0)), as_column(_PIECE))
     pieces = texts.select(_HASH, F.explode(starts).alias("_start"), "_lower").select(
@@ -98,8 +134,8 @@ def _places(texts: DataFrame, size: int) -> DataFrame:
     )
     pieces = pieces.where(F.char_length("_piece") >= size)
     offsets = F.sequence(as_column(1), F.least(F.char_length("_piece") - (size - 1), as_column(_PIECE)))
-    return pieces.select(_HASH, "_start", "_piece", F.explode(offsets).alias("_offset")).select(
-        _HASH,
-        (F.col("_start") + F.col("_offset")).alias("_at"),
-        F.substr("_piece", "_offset", F.lit(size)).alias("_beginning"),
-    )
+    cut = F.transform(offsets, lambda at: F.struct(at.alias("at"), F.substr("_piece", at, F.lit(size)).alias("text")))
+    hashed = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), _bit(x["text"]).alias("bit")))
+    bits = _bits(beginnings)
+    found = pieces.select(_HASH, "_start", F.explode(F.filter(hashed, lambda x: _may_begin(bits, x["bit"]))).alias("_found"))
+    return found.select(_HASH, (F.col("_start") + F.col("_found.at")).alias("_at"), F.col("_found.text").alias("_beginning"))

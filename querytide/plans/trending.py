@@ -16,7 +16,7 @@ from querytide.settings import Settings
 
 
 def reason_counts(
-    labelled: DataFrame, words: DataFrame, bucket: int, time: str = "timestamp", reason: str = "drop_reason"
+    labelled: DataFrame, words: DataFrame | list[str], bucket: int, time: str = "timestamp", reason: str = "drop_reason"
 ) -> DataFrame:
     """(drop_reason, bucket_start, query, count) of events that went through the rate limit.
 

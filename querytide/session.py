@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,16 +57,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables this application has stored so far, and return how many there were.
+def stored_paths(spark: SparkSession) -> list[str]:
+    """The tables this application has stored and not dropped."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stored(spark: SparkSession, paths: Iterable[str] | None = None) -> int:
+    """Delete the tables this application has stored so far, or those given, and return how many there were.
 
     Results that still read them must have been written or collected before."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    held = stored_paths(spark)
+    gone = held if paths is None else [path for path in held if path in set(paths)]
+    _WRITTEN[spark.sparkContext.applicationId] = [path for path in held if path not in set(gone)]
     conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
-    for path in paths:
+    for path in gone:
         folder = jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(conf).delete(folder, True)
-    return len(paths)
+    return len(gone)
 
 
 def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:

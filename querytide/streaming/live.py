@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from querytide.operators.chain import ANTIFRAUD
 from querytide.operators.counts import live
 from querytide.operators.ratelimit import label, rate_windows, tick_counts
+from querytide.operators.stoplist import short_list
 from querytide.plans.trending import reason_counts, top_of_counts
 from querytide.schema import BATCH_COUNTS, BUCKET_COUNTS, RATE_WINDOWS
 from querytide.settings import Settings
@@ -22,13 +23,15 @@ from querytide.sources.files import SharedFiles
 from querytide.sources.messages import arrival_millis, parse
 from querytide.sources.published import latest_id, publish
 from querytide.sources.slots import SlottedTable
-from querytide.sources.stopwords import current_version, read_stop_words
+from querytide.sources.stopwords import current_version, expire_stop_words, read_stop_words
 
 MALFORMED = "malformed"
 
 _LOCKS: dict[str, threading.Lock] = {}
 # The newest snapshot of each published list, once this driver has published one.
 _NEWEST: dict[str, int] = {}
+# The stop list that was used last, if it is short.
+_SHORT: dict[tuple[str, int], list[str] | None] = {}
 # Batches whose state is kept.
 _STATES = 4
 
@@ -105,7 +108,7 @@ class LiveJob:
             state.delete(str(batch_id - _STATES))
             if bad:
                 self._set_aside(parsed, batch_id)
-            words = read_stop_words(spark, self.stop_words, version)
+            words = self._words(spark, version)
             counts = self._count(spark, parsed, words, batch_id, before, (first, clock), bad)
             as_of = clock // 1000 if self.follow_arrivals else int(time.time())
             self._publish(spark, counts, batch_id, as_of)
@@ -125,6 +128,21 @@ class LiveJob:
         writer = beats.writeStream.foreachBatch(lambda rows, _: self.tick(rows.sparkSession, int(time.time())))
         return writer.trigger(processingTime=f"{self.settings.tick} seconds").start()
 
+    def tidy(self, spark: SparkSession, as_of: int) -> None:
+        """Compact the counts without buckets that are out of the window, and delete old versions of the stop list. The
+        stream and readers may go on meanwhile."""
+        self.counts.compact(spark, expired=as_of - self.settings.window)
+        expire_stop_words(spark, self.stop_words)
+
+    def _words(self, spark: SparkSession, version: int) -> DataFrame | list[str]:
+        """The stop list of a version, which never changes: a short one is read once."""
+        key = (self.stop_words, version)
+        if key not in _SHORT:
+            _SHORT.clear()
+            _SHORT[key] = short_list(read_stop_words(spark, self.stop_words, version))
+        listed = _SHORT[key]
+        return read_stop_words(spark, self.stop_words, version) if listed is None else listed
+
     def _set_aside(self, parsed: DataFrame, batch_id: int) -> None:
         bad = parsed.where(F.col("bad_reason").isNotNull()).select("value", "bad_reason", *_ORDER)
         bad.write.mode("overwrite").parquet(f"{self.quarantine_path}/batch_id={batch_id}")
@@ -133,7 +151,7 @@ class LiveJob:
         self,
         spark: SparkSession,
         parsed: DataFrame,
-        words: DataFrame,
+        words: DataFrame | list[str],
         batch_id: int,
         clock: int,
         arrivals: tuple[int, int],

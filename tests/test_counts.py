@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from models import ring_counts
@@ -35,11 +36,11 @@ def as_dict(df):
 
 
 def test_counts_across_buckets(spark):
-    rows = events(spark, [("go", NOW - 1), ("go", NOW - 2), ("kafka", NOW - 2), ("redis", NOW - 6)])
-    want = {"go": 2, "kafka": 1, "redis": 1}
-    assert as_dict(window_snapshot(bucket_counts(rows, 5), NOW, 15)) == want
-    assert as_dict(snapshot_of_events(rows, NOW, 15, 5)) == want
-    assert as_dict(ring_snapshot(rows, NOW, 15, 5)) == want
+    rows = events(spark, [("tea", NOW), *[("tea", NOW - 4)] * 2, ("honey", NOW - 9), ("milk", NOW - 13), ("milk", NOW - 3)])
+    want = {"tea": 3, "honey": 1, "milk": 2}
+    assert as_dict(window_snapshot(bucket_counts(rows, 5), NOW, 20)) == want
+    assert as_dict(snapshot_of_events(rows, NOW, 20, 5)) == want
+    assert as_dict(ring_snapshot(rows, NOW, 20, 5)) == want
 
 
 def test_query_text_is_the_key_as_sent(spark):
@@ -48,12 +49,12 @@ def test_query_text_is_the_key_as_sent(spark):
 
 
 def test_future_event_reuses_a_slot(spark):
-    rows = events(spark, [("old_spam", NOW), ("new_query", NOW + 10)])
-    assert as_dict(ring_snapshot(rows, NOW, 10, 5)) == {"new_query": 1}
+    rows = events(spark, [("snow", NOW), ("sun", NOW + 10)])
+    assert as_dict(ring_snapshot(rows, NOW, 10, 5)) == {"sun": 1}
     # Without a ring both count; the future one does not when the window is closed at its upper end.
-    assert as_dict(snapshot_of_events(rows, NOW, 10, 5)) == {"old_spam": 1, "new_query": 1}
-    assert as_dict(snapshot_of_events(rows, NOW, 10, 5, until=NOW)) == {"old_spam": 1}
-    assert as_dict(window_snapshot(bucket_counts(rows, 5), NOW, 10, until=NOW)) == {"old_spam": 1}
+    assert as_dict(snapshot_of_events(rows, NOW, 10, 5)) == {"snow": 1, "sun": 1}
+    assert as_dict(snapshot_of_events(rows, NOW, 10, 5, until=NOW)) == {"snow": 1}
+    assert as_dict(window_snapshot(bucket_counts(rows, 5), NOW, 10, until=NOW)) == {"snow": 1}
 
 
 def test_late_event_counts_into_the_newer_bucket_of_its_slot(spark):
@@ -84,36 +85,40 @@ def test_ring_equals_sequential_model(spark, seed):
 
 def test_many_adds(spark):
     rows = spark.range(8000).select(
-        F.col("id").alias("seq"), F.lit("spam").alias("query"), F.lit(NOW).cast("bigint").alias("timestamp")
+        F.col("id").alias("seq"), F.lit("umbrella").alias("query"), F.lit(NOW).cast("bigint").alias("timestamp")
     )
-    assert as_dict(snapshot_of_events(rows, NOW, 15, 5)) == {"spam": 8000}
-    assert as_dict(ring_snapshot(rows, NOW, 15, 5)) == {"spam": 8000}
+    assert as_dict(snapshot_of_events(rows, NOW, 15, 5)) == {"umbrella": 8000}
+    assert as_dict(ring_snapshot(rows, NOW, 15, 5)) == {"umbrella": 8000}
 
 
-def test_thousand_queries_top_10(spark):
-    rows = events(spark, [(f"query_{i}", NOW - i) for i in range(1000)])
+def test_most_frequent_of_many_queries(spark):
+    # Every second another of 700 words, each third second the same one again.
+    rows = events(spark, [(f"word {7 * i % 700}", NOW - i) for i in range(900)] + [("rain", NOW - 3 * i) for i in range(300)])
     got = top_k(snapshot_of_events(rows, NOW, 300, 5), 10).collect()
-    live = sorted(f"query_{i}" for i in range(1000) if (NOW - i) // 5 * 5 > NOW - 300)
-    assert [(r["query"], r["count"]) for r in got] == [(q, 1) for q in live[:10]]
+    live = sorted({f"word {7 * i % 700}": 1 for i in range(900) if (NOW - i) // 5 * 5 > NOW - 300})
+    rain = sum((NOW - 3 * i) // 5 * 5 > NOW - 300 for i in range(300))
+    again = Counter(f"word {7 * i % 700}" for i in range(900) if (NOW - i) // 5 * 5 > NOW - 300)
+    first = sorted(live, key=lambda q: (-again[q], q))[:9]
+    assert [(r["query"], r["count"]) for r in got] == [("rain", rain), *[(q, again[q]) for q in first]]
 
 
 def test_top_order_ties_and_zero_counts(spark):
-    rows = spark.createDataFrame([("kafka", 5), ("go", 10), ("redis", 3), ("zero", 0)], "query string, count bigint")
-    assert [r["query"] for r in top_k(rows, 5).collect()] == ["go", "kafka", "redis", "zero"]
-    assert [r["query"] for r in top_k(rows, 2).collect()] == ["go", "kafka"]
+    rows = spark.createDataFrame([("lamp", 0), ("chair", 21), ("desk", 34), ("shelf", 8), ("rug", 2)], "query string, count bigint")
+    assert [r["query"] for r in top_k(rows, 9).collect()] == ["desk", "chair", "shelf", "rug", "lamp"]
+    assert [r["query"] for r in top_k(rows, 3).collect()] == ["desk", "chair", "shelf"]
     assert top_k(rows.limit(0), 5).collect() == []
     ties = spark.createDataFrame(
-        [("ж", 1), ("rust", 1), ("golang", 1), ("Zig", 1), ("iphone", 2)], "query string, count bigint"
+        [("ё", 4), ("plum", 4), ("fig", 4), ("Fig", 4), ("pear", 5)], "query string, count bigint"
     )
-    assert [r["query"] for r in top_k(ties, 4).collect()] == ["iphone", "Zig", "golang", "rust"]
+    assert [r["query"] for r in top_k(ties, 4).collect()] == ["pear", "Fig", "fig", "plum"]
     with pytest.raises(InvalidArgumentError):
         top_k(rows, 0)
 
 
 def test_trim(spark):
-    top = spark.createDataFrame([("iphone", 2), ("golang", 1), ("rust", 1)], "query string, count bigint")
-    for n, want in ((1, 1), (2, 2), (100, 3), (0, 3), (-1, 3)):
-        assert [r["query"] for r in trim(top, n).collect()] == ["iphone", "golang", "rust"][:want]
+    top = spark.createDataFrame([("oak", 9), ("elm", 7), ("ash", 4), ("yew", 4)], "query string, count bigint")
+    for n, want in ((1, 1), (3, 3), (40, 4), (0, 4), (-7, 4)):
+        assert [r["query"] for r in trim(top, n).collect()] == ["oak", "elm", "ash", "yew"][:want]
 
 
 def test_requested_limit():

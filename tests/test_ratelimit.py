@@ -166,7 +166,7 @@ def test_one_address_with_all_events_is_cut_like_any_rows(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_rounds_equal_the_scan(spark, seed):
+def test_short_ranges_equal_the_scan(spark, seed):
     rng = random.Random(seed)
     ttl, limit, span = rng.choice([(9, 3, 80), (4, 1, 33), (9, 2, 8)])
     rows = {(rng.choice("abcdef"), 1000 + rng.randrange(span)): (rng.randrange(1, 5), rng.choice([0, 0, 2])) for _ in range(90)}
