@@ -14,8 +14,8 @@ from querytide.session import stored
 MAX_INLINE_BYTES = 4_000
 # Length of the pieces a text is cut into before its substrings are listed.
 _PIECE = 64
-# Bits of the filter of word beginnings: 128 KB, which go with the plan.
-_BITS = 1 << 20
+# Bits of the filter of a class's word beginnings: 32 KB, which go with the plan.
+_BITS = 1 << 18
 # Shortest words of the length classes; a class looks up this many characters.
 _CLASSES = (1, 2, 3, 5, 12)
 _HASH = "_text_hash"
@@ -84,38 +84,42 @@ def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") ->
     where a word begins as the text goes on, the text is fetched by its hash and compared with the whole word. So such a
     position costs a hash, a number and a few characters, and no text is shuffled by position.
     """
-    words = words.where(F.col("word") != "").select("word", F.char_length("word").alias("_size"))
+    size = F.char_length("word")
+    shortest = F.lit(0)
+    for least in _CLASSES:
+        shortest = F.when(size >= least, F.lit(least)).otherwise(shortest)
+    words = words.where(F.col("word") != "").select("word", shortest.alias("_class"))
+    words = words.select("word", "_class", F.substr("word", F.lit(1), F.col("_class")).alias("_beginning"))
+    filters = _filters(words)
     texts = rows.select(F.lower(text).alias("_lower")).where("_lower IS NOT NULL").distinct()
     texts = stored(texts.select(F.xxhash64("_lower").alias(_HASH), "_lower"), "stop-texts")
     found = None
-    for shortest, longest in zip(_CLASSES, [*_CLASSES[1:], None], strict=True):
-        size = F.col("_size")
-        group = words.where(size >= shortest if longest is None else (size >= shortest) & (size < longest))
-        beginnings = group.select("word", F.substr("word", F.lit(1), F.lit(shortest)).alias("_beginning"))
+    for least, bits in sorted(filters.items()):
+        beginnings = words.where(F.col("_class") == least).select("word", "_beginning")
         left = texts if found is None else texts.join(found, _HASH, "left_anti")
-        distinct = stored(beginnings.select("_beginning").distinct(), "stop-beginnings")
-        places = _places(left, shortest, distinct).join(distinct, "_beginning", "left_semi")
+        places = _places(left, least, bits)
+        places = places.join(beginnings.select("_beginning").distinct(), "_beginning", "left_semi")
         possible = places.join(beginnings, "_beginning").select(_HASH, "_at", "word")
         whole = F.substr("_lower", "_at", F.char_length("word")) == F.col("word")
         hits = left.join(possible, _HASH).where(whole).select(_HASH).distinct()
         found = stored(hits if found is None else found.union(hits), "stop-found")
-    return found
+    return texts.select(_HASH).limit(0) if found is None else found
 
 
 def _bit(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), as_column(_BITS))
 
 
-def _bits(beginnings: DataFrame) -> Column:
-    """The filter as an array of 64-bit numbers: a bit is set for the hash of each beginning."""
+def _filters(words: DataFrame) -> dict[int, Column]:
+    """For each class that has words, the filter as an array of 64-bit numbers: a bit is set for the hash of each beginning."""
     bit = _bit(F.col("_beginning"))
-    numbers = beginnings.select(F.call_function("div", bit, as_column(64)).alias("at"), F.pmod(bit, as_column(64)).alias("bit"))
-    numbers = numbers.groupBy("at").agg(F.bit_or(F.call_function("shiftleft", as_column(1), F.col("bit").cast("int"))).alias("n"))
-    out = [0] * (_BITS // 64)
-    for row in numbers.collect():  # at most one row for each of the filter's numbers
-        out[row["at"]] = row["n"]
+    numbers = words.select("_class", F.call_function("div", bit, as_column(64)).alias("at"), F.pmod(bit, as_column(64)).alias("bit"))
+    set_ = F.call_function("shiftleft", as_column(1), F.col("bit").cast("int"))
+    found: dict[int, list[int]] = {}
+    for row in numbers.groupBy("_class", "at").agg(F.bit_or(set_).alias("n")).collect():  # as many as the filters are long
+        found.setdefault(row["_class"], [0] * (_BITS // 64))[row["at"]] = row["n"]
     # Becomes one literal when the plan is optimised.
-    return F.from_json(F.lit(str(out)), "array<bigint>")
+    return {least: F.from_json(F.lit(str(numbers)), "array<bigint>") for least, numbers in found.items()}
 
 
 def _may_begin(bits: Column, bit: Column) -> Column:
@@ -124,7 +128,7 @@ def _may_begin(bits: Column, bit: Column) -> Column:
     return shifted.bitwiseAND(as_column(1)) == 1
 
 
-def _places(texts: DataFrame, size: int, beginnings: DataFrame) -> DataFrame:
+def _places(texts: DataFrame, size: int, bits: Column) -> DataFrame:
     """Each position of a text at which a word may begin, with the `size` characters from there. Texts are cut into pieces
     to keep substrings short."""
     last = F.greatest(F.char_length("_lower") - size, as_column(-1)) + 1
@@ -136,6 +140,5 @@ def _places(texts: DataFrame, size: int, beginnings: DataFrame) -> DataFrame:
     offsets = F.sequence(as_column(1), F.least(F.char_length("_piece") - (size - 1), as_column(_PIECE)))
     cut = F.transform(offsets, lambda at: F.struct(at.alias("at"), F.substr("_piece", at, F.lit(size)).alias("text")))
     hashed = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), _bit(x["text"]).alias("bit")))
-    bits = _bits(beginnings)
     found = pieces.select(_HASH, "_start", F.explode(F.filter(hashed, lambda x: _may_begin(bits, x["bit"]))).alias("_found"))
     return found.select(_HASH, (F.col("_start") + F.col("_found.at")).alias("_at"), F.col("_found.text").alias("_beginning"))
