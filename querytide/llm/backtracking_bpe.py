@@ -28,7 +28,7 @@ from querytide.llm.pieces import PieceEncoder, kept, read_vocabulary
 
 #: Bytes of text per Arrow batch handed back; keeps batches of very long texts small.
 BATCH_BYTES = 4 << 20
-_PAIRS_KEPT = 1_000_000
+_PAIRS_KEPT = 400_000
 
 
 class BacktrackingBpe:

@@ -14,6 +14,7 @@ GAP = r"[ \t-\r]+"
 #: Words kept in a worker's table before it starts over; bounds the worker's memory, not the results.
 CACHE_WORDS = 600_000
 _BASE = 0x9E3779B97F4A7C15
+_NOTHING = object()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,16 +28,19 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
 
 
 class Cache(dict):
-    """A dictionary that computes missing values and starts over when it is full."""
+    """A dictionary that computes missing values. When half of `size` is new, what has not been asked for since the last
+    time that happened is forgotten, so frequent keys stay."""
 
     def __init__(self, make: Callable, size: int = CACHE_WORDS) -> None:
         super().__init__()
-        self.make, self.size = make, size
+        self.make, self.half, self.older = make, max(1, size // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.size:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, _NOTHING)
+        value = self[key] = self.make(key) if value is _NOTHING else value
         return value
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,8 @@ from querytide.llm.common import Cache
 
 #: A tokenizer file beyond this is refused: it is broadcast.
 MAX_FILE_BYTES = 64 << 20
-#: Words and pieces kept by a Python worker, and the longest one kept.
-KEPT, LONGEST_KEPT = 800_000, 64
+#: Words kept by a Python worker, pieces of words among them, and the longest one kept.
+KEPT, LONGEST_KEPT = 600_000, 64
 
 # The normalizer and the splitter of word BPE files, for which the quick cut below holds.
 _NORMALIZER = {
@@ -59,6 +60,10 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in sorted(plain)} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
 class PieceEncoder:
     """Encodes whole texts piece by piece. `one(piece)` gives the ids of one piece, written in byte characters."""
 
@@ -73,31 +78,40 @@ class PieceEncoder:
         marks = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.special = re.compile("|".join(marks)) if marks else None
         self.quick = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLITTER
-        self.words, self.pieces = Cache(self._ids, KEPT), Cache(self._piece, KEPT)
+        # A piece by itself is a word that is cut into that piece alone, unless it is the string of an added token.
+        self.pieces_are_words = not any(_CUT.fullmatch(t.lower()) for t in self.added)
+        self.words = Cache(self._ids, KEPT)
 
     def _by_model(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
 
     def _piece(self, piece: str) -> bytes:
-        return np.array(self.one(piece.encode().decode("latin-1").translate(self.table)), np.uint32).tobytes()
+        # Printable ASCII characters stand for themselves.
+        characters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table)
+        return _packed(self.one(characters))
 
     def _slow(self, text: str) -> bytes:
         cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return b"".join([np.array(self.one(p), np.uint32).tobytes() for p, _ in cut if p])
+        return b"".join([_packed(self.one(p)) for p, _ in cut if p])
 
     def _plain(self, text: str) -> bytes:
         if not self.quick or not _QUICK.fullmatch(text):
             return self._slow(text)
         pieces = _CUT.findall(text.lower())
-        return b"".join([self.pieces[p] if len(p) <= LONGEST_KEPT else self._piece(p) for p in pieces])
+        if len(pieces) == 1 or not self.pieces_are_words:
+            return b"".join([self._piece(p) for p in pieces])
+        known = self.words
+        return b"".join([known[p.encode()] if len(p) <= LONGEST_KEPT else self._piece(p) for p in pieces])
 
     def _ids(self, text: bytes) -> bytes:
+        if self.quick and self.pieces_are_words and text.isalpha():  # one piece of plain letters
+            return self._piece(text.lower().decode())
         text = text.decode("utf-8", "replace")
         if not self.special or not self.special.search(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.uint32(self.added[m.group()]).tobytes()]
+            out += [self._plain(text[at : m.start()]), _packed([self.added[m.group()]])]
             at = m.end()
         return b"".join([*out, self._plain(text[at:])])
 
