@@ -19,17 +19,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.llm.common import fresh
+from querytide.llm.common import Cache, fresh, signed
 from querytide.session import stored
 
 #: Edits within which two lines count as the same, and the shortest line (code points) that may have all of them.
 DISTANCE, MIN_CHARS = 2, 24
 #: Keys of more lines than HOT are not paired by a join but in blocks of BLOCK lines.
-HOT, BLOCK = 256, 256
+HOT, BLOCK = 64, 256
 #: Letters whose numbers are compared before two lines are paired (frequent ones of several languages).
 COUNTED = "etaonisr"
 #: Pairs up to which the numbers of their lines are broadcast (16 bytes a pair).
@@ -74,16 +76,11 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return min(score, limit + 1)
 
 
-def _segment(length: Column, i: int, distance: int) -> tuple[Column, Column]:
+def _segment(length: int, i: int, distance: int) -> tuple[int, int]:
     """First place (from 0) and size of segment i of a line: even sizes, the longer ones last."""
     parts = distance + 1
-    size, longer = F.floor(length / parts), length % parts
-    start = size * i + F.greatest(F.lit(0), longer - (parts - i))
-    return start, size + F.when(longer >= parts - i, 1).otherwise(0)
-
-
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start.cast("int") + 1, size.cast("int")))
+    size, longer = divmod(length, parts)
+    return size * i + max(0, longer - (parts - i)), size + (longer >= parts - i)
 
 
 def allowed(length: int, distance: int, min_chars: int) -> int:
@@ -95,28 +92,43 @@ def _allowed(length: Column, distance: int, min_chars: int) -> Column:
     return F.least(F.lit(distance), F.floor(length * distance / max(1, min_chars)), length - 1)
 
 
-def _own_keys(line: Column, length: Column, distance: int, min_chars: int) -> list[Column]:
-    here = _allowed(length, distance, min_chars)
-    return [
-        F.when(here == d, _key(line, length, i, *_segment(length, i, d))) for d in range(1, distance + 1) for i in range(d + 1)
-    ]
+def _places(length: int, distance: int, min_chars: int) -> list[tuple[int, int, int, bool]]:
+    """(first, end, seed, own) of the substrings of a line that are its keys; the seed stands for a segment's line length
+    and number. Its own segments come first, then what may be a segment of a line of this length or up to `distance`
+    shorter. A shift beyond the first bound leaves too few edits before the segment, beyond the second too few after."""
+    found = []
+    for less in range(distance + 1):
+        other = length - less
+        d = allowed(other, distance, min_chars)
+        for i in range(d + 1 if d > 0 and less <= d else 0):
+            start, size = _segment(other, i, d)
+            for shift in range(max(-i, less - (d - i)), min(i, less + (d - i)) + 1):
+                if start + shift >= 0 and start + shift + size <= length:
+                    own = less == shift == 0
+                    found.append((start + shift, start + shift + size, other * (distance + 1) + i, own))
+    return sorted(found, key=lambda place: not place[3])
+
+
+def _keyed(lines: DataFrame, distance: int, min_chars: int, own: bool) -> DataFrame:
+    """id, bag and key: a row for each of a line's own keys, or for each of all its keys."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = Cache(lambda n: [p[:3] for p in _places(n, distance, min_chars) if p[3] or not own], 20_000)
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            cuts = [places[len(text)] for text in texts]
+            keys = [digest(text[a:b].encode(), seed) for text, cut in zip(texts, cuts, strict=True) for a, b, seed in cut]
+            counts = np.array([len(cut) for cut in cuts], np.int64)
+            bags = np.array([_bag(text) for text in texts], np.uint64)
+            columns = [
+                np.repeat(batch.column(0).to_numpy(), counts),
+                np.repeat(signed(bags), counts),
+                signed(np.array(keys, np.uint64)),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "bag", "key"])
 
-def _probe_keys(line: Column, length: Column, distance: int, min_chars: int) -> list[Column]:
-    """Keys of the segments that a line of this length or up to `distance` shorter would have here; the line's own are
-    left out. A shift beyond the first bound leaves too few edits before the segment, beyond the second too few after."""
-    keys = []
-    for d in range(1, distance + 1):
-        for less in range(d + 1):
-            of_these = _allowed(length - less, distance, min_chars) == d
-            for i in range(d + 1):
-                start, size = _segment(length - less, i, d)
-                after = d - i
-                for shift in range(max(-i, less - after), min(i, less + after) + 1):
-                    if less or shift:
-                        fits = of_these & (start + shift >= 0) & (start + shift + size <= length)
-                        keys.append(F.when(fits, _key(line, length - less, i, start + shift, size)))
-    return keys
+    return lines.select("id", "line").mapInArrow(run, "id long, bag long, key long")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -127,13 +139,9 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("row", place.cast("decimal(38,0)").alias("place"), "number", F.xxhash64("line").alias("id"), "line")
 
 
-def _bag(line: Column) -> Column:
+def _bag(line: str) -> int:
     """How often the line has each of the COUNTED letters, up to 255 each, in one number."""
-    counts = [F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)) for c in COUNTED]
-    out = F.lit(0).cast("long")
-    for k, count in enumerate(counts):
-        out = out.bitwiseOR(F.shiftleft(count.cast("long"), 8 * k))
-    return out
+    return sum(min(line.count(c), 255) << 8 * k for k, c in enumerate(COUNTED))
 
 
 def _alike(a: str, b: str, distance: int) -> Column:
@@ -148,16 +156,8 @@ def _alike(a: str, b: str, distance: int) -> Column:
 
 def _near(lines: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """id and place: for each line with others within the distance, the earliest place of those."""
-    # The length is a column of its own, so that it is not counted anew for each key.
-    line, length = F.col("line"), F.col("chars")
-    lines = lines.withColumn("chars", F.length("line")).filter(_allowed(length, distance, min_chars) > 0)
-    own_keys, probe_keys = (f(line, length, distance, min_chars) for f in (_own_keys, _probe_keys))
-    lines = lines.withColumn("bag", _bag(line))
-
-    def keyed(keys: list[Column]) -> DataFrame:
-        return lines.select("id", "bag", F.explode(F.array(*keys).cast("array<long>")).alias("key")).filter("key IS NOT NULL")
-
-    own, every = keyed(own_keys), keyed([*own_keys, *probe_keys])
+    lines = lines.filter(_allowed(F.length("line"), distance, min_chars) > 0)
+    own, every = (_keyed(lines, distance, min_chars, alone) for alone in (True, False))
     hot = stored(own.groupBy("key").count().filter(F.col("count") > HOT).withColumnRenamed("count", "n"), "hot-keys")
 
     usual = own.join(hot, "key", "left_anti").withColumnsRenamed({"id": "a", "bag": "bag_a"})
