@@ -34,6 +34,8 @@ MOST_DIMENSIONS = 2048
 #: Rows count as orthonormal when their Gram matrix is as close as this to the identity.
 ORTHONORMAL = 1e-12
 MOST_PASSES = 6
+#: Directions in which rows spread by less than this part of the largest spread hold rounding only, and are no components.
+NOTHING = 1e-11
 #: Rows that are worked on at once.
 ROWS = 4096
 
@@ -170,8 +172,7 @@ def fit(rows: DataFrame, vector_col: str, components: int = 32, scale: int = 64,
         lambda factors: _gram(vectors, dims, dims, lambda v: divided(centre.centred(v), factors)), n, dims
     )
     _, sizes, turned = np.linalg.svd(r)
-    # Directions that hold nothing but rounding are no components.
-    rank = int((sizes > sizes[0] * max(n, dims) * np.finfo(np.float64).eps).sum()) if sizes[0] > 0 else 0
+    rank = int((sizes > sizes[0] * NOTHING).sum()) if sizes[0] > 0 else 0
     kept = min(components, rank)
     eigenvalues = sizes**2 / n
     return Whitening(centre, turned[:kept], eigenvalues[:kept], eigenvalues[:kept] / (eigenvalues.sum() or 1.0))
