@@ -2,7 +2,8 @@
 
 Patterns give the base spans. The field then labels a document's words that hold a digit or an at sign: neighbouring
 words are linked in a chain, and words that are equal or alike (the same last digits, the same mailbox) are linked over
-any distance. Loopy message passing spreads what the base spans tell, so that a number written once more without its
+any distance: each to the last one before it and to one that all are linked to, the first with a base label if there is
+one, so that any two are two links apart however often a word repeats. Loopy message passing spreads what the base spans tell, so that a number written once more without its
 plus sign, or in another grouping, gets the same label. Words of base spans keep their label; other words that get a
 label with high probability become additional spans.
 
@@ -29,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_SHAPES = 4000, 20_000
 #: Rounds of message passing, damping of a message, probability from which a word becomes a span.
 ROUNDS, DAMPING, PROBABILITY = 12, 0.3, 0.9
+#: Weight of the labels that a word of a base span does not have: below what any number of alike words can outweigh.
+HELD = -1e9
 #: Fewest digits of an additional span.
 LEAST_DIGITS = {"email": 0, "ip": 4, "card": 12, "phone": 7}
 _SLOTS, _BATCH_BYTES = 1 << 14, 4 << 20
@@ -116,14 +119,23 @@ class Words:
             named = (f"s{shape}", f"n{min(len(digits), 20)}", f"l{luhn}", f"b{before.get(i)}", f"a{after.get(i)}", f"x{shape}{luhn}{before.get(i)}{after.get(i)}")
             self.features.append([xxhash.xxh32_intdigest(f) % _SLOTS for f in named])
         self.skips = []
+        keys = [_keys(c) for c in self.cores]
         last_with: dict[str, int] = {}
-        for i, core in enumerate(self.cores):
-            linked = set()
-            for key in _keys(core):
-                if key in last_with and (j := last_with[key]) not in linked:
-                    linked.add(j)
-                    self.skips.append((j, i))
+        hubs: dict[str, int] = {}
+        for i, own in enumerate(keys):
+            for key in own:
+                if key not in hubs or self.labels[i] and not self.labels[hubs[key]]:
+                    hubs[key] = i
+        for i, own in enumerate(keys):
+            linked = {i}
+            for key in own:
+                for j in (last_with.get(key), hubs[key]):
+                    # Two hubs meet once, from the later one.
+                    if j is not None and j not in linked and not (j > i and i in (hubs[k] for k in own)):
+                        linked.add(j)
+                        self.skips.append((min(i, j), max(i, j)))
                 last_with[key] = i
+        self.skips = list(dict.fromkeys(self.skips))
 
     def unsure(self) -> set[int]:
         """Words without a label that are like a labelled one, and their neighbours: the patterns do not settle what
@@ -166,7 +178,7 @@ class Field:
         unary = np.array([self.weights[f].sum(axis=0) for f in words.features])
         for i, label in enumerate(words.labels):
             if label:
-                unary[i] = -50.0
+                unary[i] = HELD
                 unary[i, label] = 0.0
         links = [*words.chain, *words.skips]
         if links:
@@ -193,7 +205,7 @@ class Field:
 def more_spans(text: str, base: list[Span], field: Field) -> list[Span]:
     """Spans of words outside the base spans that the field labels, neighbours of the same label as one span."""
     words = Words(text, base)
-    if not words.places or not any(words.labels):
+    if not words.places:
         return []
     odds = field.marginals(words)
     best = odds.argmax(axis=1)
@@ -289,8 +301,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Base and additional spans of every whole text.
 
     Returns doc_id and spans (array of kind, start, end, base; code points, end exclusive; by kind as in KINDS, then by
-    start), one row per row of `docs`. A null text is empty and has none; null and repeated ids are kept. Documents
-    without a base span get no additional ones: there is nothing to be consistent with. Other columns are left out, so
+    start), one row per row of `docs`. A null text is empty and has none; null and repeated ids are kept. The field runs on
+    every document that has a word with a digit or an at sign, with or without base spans. Other columns are left out, so
     their names cannot clash. An empty table gives none."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     trained = train(chosen)
@@ -304,7 +316,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for data in as_bytes(batch.column(1)):
                 text = data.decode("utf-8", "replace")
                 base = base_spans(text)
-                more = more_spans(text, base, field) if base else []
+                more = more_spans(text, base, field)
                 spans = sorted([(*s, True) for s in base] + [(*s, False) for s in more])
                 rows.append([{"kind": KINDS[k], "start": a, "end": b, "base": own} for k, a, b, own in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])

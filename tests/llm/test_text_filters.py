@@ -106,3 +106,25 @@ def test_personal_data_of_a_table(spark):
     # The number written again without its sign has no base span; the field finds it.
     assert {r["spans"] for r in got if r["doc_id"] == 301} == {"phone:5:22,phone:35:47"}
     assert skip_chain.find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_the_field_runs_without_base_spans_and_over_many_repeats(spark):
+    texts = [(k, f"call +1 (319) 555-{1000 + k} at noon, item {k % 100} of 12 costs 5.{k % 100:02}") for k in range(300)]
+    bare = "call 1 (319) 555-7001 at noon, item 7 of 12 costs 5.99"
+    often = "call +1 (319) 555-5132 at noon" + " or then 319 555-5132 again" * 150
+    texts += [(1000, bare), (1001, often), (1002, "item 7 of 12 costs 5.99")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in skip_chain.find_personal_data(docs).collect() if r["doc_id"] >= 1000}
+    assert skip_chain.base_spans(bare) == []
+    assert [(s["kind"], s["start"], s["end"], s["base"]) for s in got[1000]] == [("phone", 5, 21, False)]
+    assert sum(s["kind"] == "phone" and not s["base"] for s in got[1001]) == 150
+    assert got[1002] == []
+
+
+def test_alike_words_are_two_links_apart():
+    text = " x ".join(["319 555-5132"] * 40 + ["+1 (319) 555-5132"] + ["319 555-5132"] * 40)
+    words = skip_chain.Words(text, skip_chain.base_spans(text))
+    (hub,) = [i for i, core in enumerate(words.cores) if core == "555-5132" and words.labels[i]]
+    linked = {i for pair in words.skips if hub in pair for i in pair}
+    assert linked == {i for i, core in enumerate(words.cores) if core == "555-5132"}
+    assert len(words.skips) == len(set(words.skips)) <= 4 * len(words.cores)
