@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querytide.errors import WordsNotFoundError
+from querytide.functions.beginnings import BITS, beginning_bits, places
 from querytide.functions.text import contains_any, normalise_word
 from querytide.functions.times import as_column
 from querytide.session import stored
 
 # Word lists up to this many bytes are written into the filter expression; longer ones are joined.
 MAX_INLINE_BYTES = 4_000
-# Length of the pieces a text is cut into before its substrings are listed.
-_PIECE = 64
-# Bits of the filter of a class's word beginnings: 32 KB, which go with the plan.
-_BITS = 1 << 18
 # Shortest words of the length classes; a class looks up this many characters.
 _CLASSES = (1, 2, 3, 5, 12)
 _HASH = "_text_hash"
@@ -79,8 +76,8 @@ def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") ->
     """Hashes of the lower-cased texts that contain a word of a list of any length.
 
     Words are looked up in classes by length, the shortest first, by the characters they begin with, and only in texts
-    without a hit so far. A filter of bits, set by the hashes of a class's beginnings, is tested at every position inside
-    the expression, so a position becomes a row only if a word may begin there. Those are looked up by an equality join;
+    without a hit so far. A filter of bits, set by the hashes of a class's beginnings, is tested at every position in Arrow
+    batches, so a position becomes a row only if a word may begin there. Those are looked up by an equality join;
     where a word begins as the text goes on, the text is fetched by its hash and compared with the whole word. So such a
     position costs a hash, a number and a few characters, and no text is shuffled by position.
     """
@@ -97,48 +94,26 @@ def texts_with_words(rows: DataFrame, words: DataFrame, text: str = "query") ->
     for least, bits in sorted(filters.items()):
         beginnings = words.where(F.col("_class") == least).select("word", "_beginning")
         left = texts if found is None else texts.join(found, _HASH, "left_anti")
-        places = _places(left, least, bits)
-        places = places.join(beginnings.select("_beginning").distinct(), "_beginning", "left_semi")
-        possible = places.join(beginnings, "_beginning").select(_HASH, "_at", "word")
+        possible = _places(left, least, bits).join(beginnings, "_beginning").select(_HASH, "_at", "word")
         whole = F.substr("_lower", "_at", F.char_length("word")) == F.col("word")
         hits = left.join(possible, _HASH).where(whole).select(_HASH).distinct()
         found = stored(hits if found is None else found.union(hits), "stop-found")
     return texts.select(_HASH).limit(0) if found is None else found
 
 
-def _bit(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text), as_column(_BITS))
+def _filters(words: DataFrame) -> dict[int, list[int]]:
+    """For each class that has words, the filter as 64-bit numbers: a bit is set for the hash of each beginning."""
+    hashed = words.select("_class", "_beginning").mapInArrow(beginning_bits, "_class int, bit bigint")
+    at = F.call_function("div", F.col("bit"), as_column(64)).alias("at")
+    set_ = F.call_function("shiftleft", as_column(1), F.pmod(F.col("bit"), as_column(64)).cast("int"))
+    found: dict[int, list[int]] = {}
+    for row in hashed.groupBy("_class", at).agg(F.bit_or(set_).alias("n")).collect():  # as many as the filters are long
+        found.setdefault(row["_class"], [0] * (BITS // 64))[row["at"]] = row["n"]
+    return found
 
 
-def _filters(words: DataFrame) -> dict[int, Column]:
-    """For each class that has words, the filter as an array of 64-bit numbers: a bit is set for the hash of each beginning."""
-    bit = _bit(F.col("_beginning"))
-    numbers = words.select("_class", F.call_function("div", bit, as_column(64)).alias("at"), F.pmod(bit, as_column(64)).alias("bit"))
-    set_ = F.call_function("shiftleft", as_column(1), F.col("bit").cast("int"))
-    found: dict[int, list[int]] = {}
-    for row in numbers.groupBy("_class", "at").agg(F.bit_or(set_).alias("n")).collect():  # as many as the filters are long
-        found.setdefault(row["_class"], [0] * (_BITS // 64))[row["at"]] = row["n"]
-    # Becomes one literal when the plan is optimised.
-    return {least: F.from_json(F.lit(str(numbers)), "array<bigint>") for least, numbers in found.items()}
-
-
-def _may_begin(bits: Column, bit: Column) -> Column:
-    number = F.get(bits, F.call_function("div", bit, as_column(64)).cast("int"))
-    shifted = F.call_function("shiftrightunsigned", number, F.pmod(bit, as_column(64)).cast("int"))
-    return shifted.bitwiseAND(as_column(1)) == 1
-
-
-def _places(texts: DataFrame, size: int, bits: Column) -> DataFrame:
-    """Each position of a text at which a word may begin, with the `size` characters from there. Texts are cut into pieces
-    to keep substrings short."""
-    last = F.greatest(F.char_length("_lower") - size, as_column(-1)) + 1
-    starts = F.sequence(as_column(0), F.greatest(last - 1, as_column(0)), as_column(_PIECE))
-    pieces = texts.select(_HASH, F.explode(starts).alias("_start"), "_lower").select(
-        _HASH, "_start", F.substr("_lower", F.col("_start") + 1, as_column(_PIECE + size - 1)).alias("_piece")
-    )
-    pieces = pieces.where(F.char_length("_piece") >= size)
-    offsets = F.sequence(as_column(1), F.least(F.char_length("_piece") - (size - 1), as_column(_PIECE)))
-    cut = F.transform(offsets, lambda at: F.struct(at.alias("at"), F.substr("_piece", at, F.lit(size)).alias("text")))
-    hashed = F.transform(cut, lambda x: F.struct(x["at"].alias("at"), x["text"].alias("text"), _bit(x["text"]).alias("bit")))
-    found = pieces.select(_HASH, "_start", F.explode(F.filter(hashed, lambda x: _may_begin(bits, x["bit"]))).alias("_found"))
-    return found.select(_HASH, (F.col("_start") + F.col("_found.at")).alias("_at"), F.col("_found.text").alias("_beginning"))
+def _places(texts: DataFrame, size: int, numbers: list[int]) -> DataFrame:
+    """Each position of a text at which a word may begin, with the `size` characters from there."""
+    # No word of the class is longer than its beginning if the next class takes those with one character more.
+    run = places(size, size + 1 in _CLASSES, numbers, [_HASH, "_at", "_beginning"])
+    return texts.select(_HASH, "_lower").mapInArrow(run, f"{_HASH} bigint, _at bigint, _beginning string")

@@ -1,8 +1,10 @@
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from querytide.errors import WordsNotFoundError
+from querytide.functions.beginnings import BITS, places
 from querytide.operators.chain import chain, kept, rate_filter, standard_chain, stop_filter
 from querytide.operators.counts import drop_counts
 from querytide.operators.stoplist import add_words, delete_words, normalise, texts_with_words, with_stop_verdict
@@ -149,3 +151,13 @@ def test_counted_chain_equals_row_chain(spark):
     by_event = trending(rows, listed, settings, 1060).collect()
     assert by_event == top_of_counts(kept_counts, settings, 1060).collect()
     assert len(by_event) == 2
+
+
+def test_a_beginning_that_is_the_whole_word_is_looked_up_once(spark):
+    numbers = [-1] * (BITS // 64)  # every bit
+    text = "añb" * 5000
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], names=["key", "text"])
+    once = [r for b in places(2, True, numbers, ["key", "at", "word"])([batch]) for r in b.to_pylist()]
+    assert sorted((r["at"], r["word"]) for r in once) == [(1, "añ"), (2, "ñb"), (3, "ba")]
+    every = [r for b in places(3, False, numbers, ["key", "at", "word"])([batch]) for r in b.to_pylist()]
+    assert [(r["at"], r["word"]) for r in every] == [(k + 1, text[k : k + 3]) for k in range(len(text) - 2)]
