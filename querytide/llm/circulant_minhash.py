@@ -4,18 +4,21 @@ Two permutations give all coordinates of a signature: the first spreads a shingl
 whose circular shift by k is the permutation of coordinate k. A shingle's values in all coordinates therefore lie side by
 side in the table, and a signature is the minimum of such rows.
 
-Documents with the same shingle set are one node. Nodes that agree on a band meet in a bucket, whose hub is its smallest
-node. First every node is compared with the smallest hub of its buckets: in a large group that is nearly always the same
-one, so one pair a node joins almost all of it. Nodes and hubs that are still apart are compared next.
+Documents with the same shingle set are one node. Nodes that agree on a band meet in a bucket, whose hub is the node that
+meets most others in all its buckets: of a group of changed copies, one of those changed least, to which the others are
+nearer than to each other. First every node is compared with the best hub of its buckets: in a large group that is nearly
+always the same one, so one pair a node joins almost all of it. Nodes and hubs that are still apart are compared next.
 Then, in buckets whose nodes are still in several components, the nodes outside the main one are compared with
-all nodes of other components. So every pair of a bucket is either compared or already joined, and no group is expanded
-into all its pairs. Pairs are dropped early if their sizes or 384 signature bits rule out the similarity (a miss needs a
+all nodes of other components, each pair in the first bucket it shares, unless the shingles that both can have are too
+few: changes of a copy make shingles that no other node has, or few have. So every pair of a bucket is compared, already
+joined or known to be no link, and no group is expanded into all its pairs. Pairs are dropped early if their sizes or 384 signature bits rule out the similarity (a miss needs a
 deviation of six standard errors); the others are compared by their full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,10 @@ BANDS, ROWS = 32, 4
 COORDINATES, MAX_DIFFERENT = 384, 87
 #: Slots of the circulant table (a power of two) and the seed of its permutation.
 SLOTS, SEED = 1 << 20, 20_260_101
+#: Nodes up to which a shingle is rare, and 64-bit words that mark a node's rare shingles.
+RARE, MARKS = 8, 4
 _ROUND = 2048
+_MARKS = [f"mark_{k}" for k in range(MARKS)]
 
 
 class Signer:
@@ -144,35 +150,84 @@ def _plausible(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.filter(_may_link("sa", "sb")).select("a", "b")
 
 
+def _buckets(banded: DataFrame) -> DataFrame:
+    """key, node, hub and met (how many others the hub meets) of the keys that several nodes have."""
+    shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("top"))
+    shared = stored(shared.filter("low < top").select("key", "n"), "shared-keys")
+    members = stored(banded.join(shared, "key"), "members")
+    met = stored(members.groupBy("node").agg(F.sum("n").alias("met")), "met-counts")
+    hubs = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("hub"))
+    hubs = stored(hubs.select("key", F.col("hub.node").alias("hub"), "hub.met"), "hubs")
+    return stored(members.select("key", "node").join(hubs, "key"), "buckets")
+
+
 def _with_hubs(members: DataFrame, roots: DataFrame, choose: str) -> DataFrame:
-    """Nodes with hubs of their buckets that are still in another component: the smallest such hub of each node ("min"),
-    or all."""
+    """Nodes with hubs of their buckets that are still in another component: the hub that meets most others ("best"), or
+    all."""
     of_node, of_hub = (roots.toDF(c, f"{c}_root") for c in ("node", "hub"))
-    now = members.select("node", "hub").join(of_node, "node", "left").join(of_hub, "hub", "left")
+    now = members.select("node", "hub", "met").join(of_node, "node", "left").join(of_hub, "hub", "left")
     apart = now.filter(F.coalesce("node_root", "node") != F.coalesce("hub_root", "hub"))
     if choose == "all":
         return apart.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    return apart.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+    best = F.max(F.struct("met", "hub"))["hub"].alias("a")
+    return apart.groupBy("node").agg(best).select("a", F.col("node").alias("b"))
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return roots if links.isEmpty() else components(roots.union(links))
 
 
-def _across(members: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """In buckets of several components: the nodes outside the main one, paired with all of other components."""
+def _with_rare(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """`nodes` with n, the number of a node's shingles, shared and common, the numbers of those that some other node and
+    more than RARE nodes have, and mark_0 and so on, the bits at which shared ones are hashed that are not common."""
+    of_nodes = sets.join(nodes.select("node"), "node", "left_semi")
+    grams = of_nodes.select("node", F.explode("shingles").alias("shingle"))
+    counts = grams.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") <= RARE)
+    found = grams.join(stored(counts, "rare-shingles"), "shingle")
+    place, nothing = F.pmod(F.xxhash64("shingle"), F.lit(64 * MARKS)), F.lit(0).cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    marks = [F.bit_or(F.when((F.col("n") > 1) & (F.floor(place / 64) == k), bit).otherwise(nothing)) for k in range(MARKS)]
+    marks = [m.alias(name) for m, name in zip(marks, _MARKS, strict=True)]
+    found = stored(found.groupBy("node").agg(F.count_if(F.col("n") == 1).alias("alone"), F.count("*").alias("few"), *marks), "rare-counts")
+    sizes = of_nodes.select("node", F.size("shingles").cast("long").alias("n"))
+    some = nodes.join(sizes, "node").join(found, "node", "left").fillna(0, ["alone", "few", *_MARKS])
+    return some.withColumn("shared", F.col("n") - F.col("alone")).withColumn("common", F.col("n") - F.col("few"))
+
+
+def _may_share(a: str, b: str) -> Column:
+    """Whether the shingles that two nodes can share are enough: those that some other node has, or, if the marks show
+    that the nodes have no rare shingle in common, those that more than RARE nodes have."""
+
+    def enough(kind: str) -> Column:
+        most = F.least(f"{kind}_{a}", f"{kind}_{b}")
+        return (100 + PERCENT) * most >= PERCENT * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+    meet = [F.col(f"{m}_{a}").bitwiseAND(F.col(f"{m}_{b}")) for m in _MARKS]
+    return enough("shared") & (enough("common") | (reduce(Column.bitwiseOR, meet) != 0))
+
+
+def _across(members: DataFrame, roots: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    """In buckets of several components: the nodes outside the main one, paired with all of other components. A pair is
+    made in the first bucket that both are in; that has several components as well. Left out are nodes and pairs that
+    cannot be similar enough, as too many of their shingles are in no other node of these buckets, or in few."""
     label = F.coalesce("b", "node").alias("label")
     now = members.join(roots.withColumnRenamed("a", "node"), "node", "left").select("key", "node", label)
     counts = now.groupBy("key", "label").count()
     mixed_keys = counts.groupBy("key").agg(F.max_by("label", "count").alias("main"), F.count("*").alias("labels"))
     mixed_keys = stored(mixed_keys.filter("labels > 1").drop("labels"), "open-keys")
-    now = now.join(mixed_keys, "key").join(signatures, "node")
-    now = stored(now, "open-buckets")
-    left = now.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "s")])
-    right = now.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "s")])
+    now = stored(now.join(mixed_keys, "key"), "open-members")
+    nodes = stored(now.groupBy("node").agg(F.collect_set("key").alias("keys")), "open-nodes")
+    nodes = _with_rare(nodes, sets).join(signatures, "node")
+    nodes = nodes.filter(100 * F.col("shared") >= PERCENT * F.col("n"))
+    now = stored(now.join(nodes, "node"), "open-buckets")
+    columns = ("node", "label", "s", "n", "shared", "common", *_MARKS, "keys")
+    left = now.filter("label <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = now.select("key", "main", *[F.col(c).alias(f"{c}_b") for c in columns])
     once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-    pairs = left.join(right, "key").filter((F.col("label_a") != F.col("label_b")) & once & _may_link("s_a", "s_b"))
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    may_link = (F.col("label_a") != F.col("label_b")) & once & _may_share("a", "b") & _may_link("s_a", "s_b")
+    first = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    pairs = left.join(right, "key").filter(may_link & first)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,8 +267,7 @@ def _named(chosen: DataFrame) -> DataFrame:
     nodes = nodes.agg(F.first("bands").alias("bands"), F.first(signature).alias("s"), F.min(row).alias("row"))
     nodes = stored(nodes, "nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub < top")
-    members = stored(banded.join(stored(hubs.select("key", "hub"), "hubs"), "key"), "buckets")
+    members = _buckets(banded)
     met = members.select("node").distinct()
     one = stored(nodes.join(met, "node", "left_semi").select("node", "row.*", "s"), "met")
     signatures = one.select("node", "s")
@@ -222,10 +276,10 @@ def _named(chosen: DataFrame) -> DataFrame:
     sets = stored(_sets(found.select("node", "text").dropDuplicates(["node"])), "sets")
 
     roots = no_rows(spark, sets.select(F.col("node").alias("a"), F.col("node").alias("b")).schema)
-    for choose in ("min", "all"):
+    for choose in ("best", "all"):
         pairs = _plausible(_with_hubs(members, roots, choose), signatures)
         roots = _joined(roots, stored(_verified(pairs, sets), "hub-links"))
-    roots = _joined(roots, stored(_verified(_across(members, roots, signatures), sets), "cross-links"))
+    roots = _joined(roots, stored(_verified(_across(members, roots, signatures, sets), sets), "cross-links"))
     roots = roots.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     least = worded.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")

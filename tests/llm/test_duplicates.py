@@ -157,6 +157,28 @@ def test_near_duplicates(spark):
     assert circulant_minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_group_of_changed_copies_is_not_expanded_into_its_pairs(spark, monkeypatch):
+    choice, rows = random.Random(9), []
+    base = [f"w{k}" for k in range(150)]
+    for k in range(240):  # from four changes on, copies are no longer linked with the others; some share a change
+        text = list(base)
+        for place in choice.sample(range(5, 145), k % 8):
+            text[place] = f"new{k}" if choice.random() < 0.9 else f"new{k % 60}"
+        rows.append((k, " ".join(text)))
+    compared, verified = [], circulant_minhash._verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(circulant_minhash, "_verified", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, circulant_minhash.near_duplicates(docs).collect()))
+    assert got == [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, near_duplicates(rows), strict=True)]
+    assert sum(r[3] for r in got) > 60
+    assert compared[2] < 5 * len(rows)  # the rest, after one hub and all hubs of each node
+
+
 def test_components(spark):
     choice = random.Random(8)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(choice.randint(200, 260), choice.randint(200, 260)) for _ in range(50)]
