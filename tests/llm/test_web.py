@@ -119,7 +119,7 @@ def test_write_and_read(spark, folder):
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels"):
+    for table in ("documents", "pages", "benchmark", "labels", "embeddings"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{TABLES}/{table}.parquet'")
     got = QUERIES[name](spark, TABLES)
     want = duck.execute(ORACLES[name])
