@@ -23,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querytide.errors import QuerytideError
-from querytide.llm.common import Cache, as_bytes, lists
-from querytide.llm.pieces import PieceEncoder, kept, read_vocabulary
+from querytide.llm.common import Cache, as_bytes, give_back, lists
+from querytide.llm.pieces import PieceEncoder, forget, kept, read_vocabulary
 
 #: Bytes of text per Arrow batch handed back; keeps batches of very long texts small.
 BATCH_BYTES = 4 << 20
 _PAIRS_KEPT = 400_000
+#: Words kept by a worker: fewer than in op8, as the pair table and the automaton stand beside them.
+_WORDS_KEPT = 400_000
 
 
 class BacktrackingBpe:
@@ -70,7 +72,7 @@ class BacktrackingBpe:
             next((known[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in known), -1) for s in symbols
         ]
         self.pairs = Cache(lambda pair: self._may_touch(*pair), _PAIRS_KEPT)
-        self.encode = PieceEncoder(source, self.ids_of_piece).encode
+        self.encode = PieceEncoder(source, self.ids_of_piece, _WORDS_KEPT).encode
 
         # The offset table: token i is blob[offsets[i]:offsets[i + 1]], each with the blank that decoding puts between.
         texts = {i: t for t, i in vocabulary.items()} | {i: t for t, i in added.items()}
@@ -169,7 +171,13 @@ def encode_and_decode(
     source = docs.sparkSession.sparkContext.broadcast({"source": read_vocabulary(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = kept(source.value, BacktrackingBpe)
+        # An idle worker would keep the encoder and all its tables, about 200 MB, for a minute.
+        try:
+            yield from _encoded(kept(source.value, BacktrackingBpe), batches)
+        finally:
+            forget(source.value)
+
+    def _encoded(bpe: BacktrackingBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, ids, texts, size = [], [], [], 0
             for i, text in enumerate(as_bytes(batch.column(1))):
@@ -183,6 +191,7 @@ def encode_and_decode(
                     names, ids, texts, size = [], [], [], 0
             if names:
                 yield _rows(batch, names, ids, texts)
+            give_back()
 
     def _rows(batch, names, ids, texts):
         return pa.RecordBatch.from_arrays(

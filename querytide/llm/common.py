@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,15 @@ def as_bytes(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system. Objects that refer to each other, Arrow and the C library would hold it in an
+    idle worker, beside the heap of the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Cache(dict):
     """A dictionary that computes missing values. When half of `size` is new, what has not been asked for since the last
     time that happened is forgotten, so frequent keys stay."""

@@ -12,7 +12,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 from querytide.errors import QuerytideError
-from querytide.llm.common import Cache
+from querytide.llm.common import Cache, give_back
 
 #: A tokenizer file beyond this is refused: it is broadcast.
 MAX_FILE_BYTES = 64 << 20
@@ -65,9 +65,10 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class PieceEncoder:
-    """Encodes whole texts piece by piece. `one(piece)` gives the ids of one piece, written in byte characters."""
+    """Encodes whole texts piece by piece. `one(piece)` gives the ids of one piece, written in byte characters; `size`
+    words are kept."""
 
-    def __init__(self, source: str, one: Callable[[str], list[int]] | None = None) -> None:
+    def __init__(self, source: str, one: Callable[[str], list[int]] | None = None, size: int = KEPT) -> None:
         spec = json.loads(source)
         self.library = Tokenizer.from_str(source)
         self.library.no_truncation()
@@ -80,7 +81,7 @@ class PieceEncoder:
         self.quick = spec["normalizer"] == _NORMALIZER and spec["pre_tokenizer"] == _SPLITTER
         # A piece by itself is a word that is cut into that piece alone, unless it is the string of an added token.
         self.pieces_are_words = not any(_CUT.fullmatch(t.lower()) for t in self.added)
-        self.words = Cache(self._ids, KEPT)
+        self.words = Cache(self._ids, size)
 
     def _by_model(self, piece: str) -> list[int]:
         return [t.id for t in self.model.tokenize(piece)]
@@ -131,4 +132,11 @@ def kept(held: dict, make: Callable) -> object:
     """An object made once per Python worker: `held` is a broadcast dictionary, which a worker keeps between tasks."""
     if "made" not in held:
         held["made"] = make(held["source"])
+        give_back()  # what making it took, and what the worker did before
     return held["made"]
+
+
+def forget(held: dict) -> None:
+    """Drop what kept() made and return its memory; callers drop their own references first."""
+    held.pop("made", None)
+    give_back()

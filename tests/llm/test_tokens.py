@@ -1,8 +1,11 @@
+import gc
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from brute import sha256
 from hypothesis import given, settings
@@ -64,6 +67,21 @@ def test_encoding_of_a_table(spark):
     assert encode_and_decode(docs.limit(0), PATH).count() == 0
 
 
+def test_an_idle_worker_holds_no_encoder(spark):
+    def broadcast(held):
+        return SimpleNamespace(value=docs.held.append(held) or held)
+
+    docs = SimpleNamespace(held=[], sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=broadcast)))
+    docs.select = lambda *columns: docs
+    docs.mapInArrow = lambda run, schema: run
+    run = encode_and_decode(docs, PATH)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b", None]})
+    for _ in range(2):
+        assert [b.column(1).to_pylist() for b in run(iter([batch]))] == [[library("a b"), []]]
+        assert list(docs.held[0]) == ["source"]
+        assert [x for x in gc.get_objects() if isinstance(x, BacktrackingBpe)] == [BPE]
+
+
 def test_token_files(spark, folder):
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows()], "doc_id long, text string, tokens int")
     write_token_files(docs, PATH, f"{folder}/t", end_id=1, files=3)
