@@ -3,6 +3,7 @@
 import json
 import random
 import threading
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -30,7 +31,7 @@ from querytide.streaming.metrics import BatchMetrics, batch_metrics, totals
 from querytide.streaming.ring import RingJob
 from querytide.streaming.windows import ClosedCounts
 from registered.oracles import ORACLES
-from registered.queries import QUERIES
+from registered.queries import QUERIES, _batch_files
 
 EVENTS = "seq bigint, ip string, arrival bigint"
 
@@ -375,3 +376,10 @@ def test_ticks_are_expanded_for_contenders_only(spark):
     assert runs.where("query LIKE 'rare%'").count() >= 500
     # Only the window's first and last spells, in which nobody is there throughout, keep them.
     assert sum(r["count"] for r in kept if r["query"].startswith("rare")) < 150
+
+
+@pytest.mark.parametrize("cores", [1, 3, 8, 12, 100])
+def test_cores_get_equally_many_files_of_a_micro_batch(cores):
+    context = SimpleNamespace(defaultParallelism=cores)
+    files = _batch_files(SimpleNamespace(sparkContext=context))
+    assert files >= 8 and files % cores == 0
