@@ -6,8 +6,8 @@ differ in much of their text are not joined.
 
 Two lines within d edits share, unchanged and almost in place, one of the d + 1 segments that either is
 cut into (pigeonhole). Each distinct line is stored under its segments, keyed by its length, the segment's number and
-text, and looks up, for its own length and each smaller one within reach, the substrings of its own that can be such a
-segment: only those few start places that leave room for the edits on both sides. Lines that meet, and whose numbers of
+text (own keys), and looks up, for its own length and each smaller one within reach, the substrings of its own that can
+be such a segment (other keys): only those few start places that leave room for the edits on both sides. Lines that meet, and whose numbers of
 some letters allow it, are compared by a bit-parallel edit distance that gives up beyond the edits of the shorter one.
 
 Equal lines are one row before the join. A key that very many lines share (a family of numbered lines, say) is cut into
@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.llm.common import Cache, fresh, signed
+from querytide.llm.common import Cache, Powers, fresh, mixed, signed
 from querytide.session import stored
 
 #: Edits within which two lines count as the same, and the shortest line (code points) that may have all of them.
@@ -34,6 +34,8 @@ DISTANCE, MIN_CHARS = 2, 24
 HOT, BLOCK = 64, 256
 #: Letters whose numbers are compared before two lines are paired (frequent ones of several languages).
 COUNTED = "etaonisr"
+#: Bytes of lines whose keys are made together; a longer line is cut by itself. The counts of letters fit into 16 bits.
+GROUP_BYTES = (1 << 16) - 1
 #: Pairs up to which the numbers of their lines are broadcast (16 bytes a pair).
 MAX_SENT = 500_000
 
@@ -109,26 +111,101 @@ def _places(length: int, distance: int, min_chars: int) -> list[tuple[int, int,
     return sorted(found, key=lambda place: not place[3])
 
 
-def _keyed(lines: DataFrame, distance: int, min_chars: int, own: bool) -> DataFrame:
-    """id, bag and key: a row for each of a line's own keys, or for each of all its keys."""
+class Keys:
+    """Keys of lines: 64-bit hashes of substrings with the length and number of the segment that they may be. Bytes are
+    numbers of a rolling sum, so lines that stand together are cut all at once."""
+
+    def __init__(self, distance: int, min_chars: int, own: bool, bare: bool = False) -> None:
+        def places(length: int) -> np.ndarray:
+            found = [p[:3] for p in _places(length, distance, min_chars) if p[3] == own]
+            return np.array(found, np.int64).reshape(-1, 3)
+
+        self.places, self.powers, self.bare = Cache(places, 20_000), Powers(), bare
+        self.letters = np.zeros(256, np.uint64)
+        for k, c in enumerate(COUNTED):
+            self.letters[ord(c)] = 1 << 8 * k
+
+    def __call__(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many keys each line has, the bags of the lines (left at 0 if `bare`), and the keys. No line is empty."""
+        lines = lines.cast(pa.large_binary())
+        ends, first, found = np.cumsum(np.asarray(pc.binary_length(lines))), 0, []
+        while first < len(lines):
+            before = ends[first - 1] if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + GROUP_BYTES, "right")))
+            group = lines.slice(first, end - first)
+            found.append(self._group(group) if ends[end - 1] - before <= GROUP_BYTES else self._long(group[0].as_py()))
+            first = end
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64))
+        return tuple(np.concatenate(parts) for parts in zip(nothing, *found, strict=True))
+
+    def _key(self, sums: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        return mixed(sums + mixed(seeds.astype(np.uint64)))
+
+    def _group(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        offsets = np.frombuffer(lines.buffers()[1], np.int64, len(lines) + 1, 8 * lines.offset)
+        text = np.frombuffer(lines.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0])
+        offsets = offsets - offsets[0]
+        # Places of the code points, and the first code point of each line.
+        points = np.append(np.flatnonzero((text & 0xC0) != 0x80), len(text))
+        starts = np.searchsorted(points, offsets)
+        lengths, kinds = np.unique(np.diff(starts), return_inverse=True)
+        tables = [self.places[n] for n in lengths.tolist()]
+        sizes = np.array([len(t) for t in tables], np.int64)
+        counts = sizes[kinds]
+        rows = np.repeat(np.arange(len(lines)), counts)
+        within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        cuts = np.concatenate(tables)[np.repeat((np.cumsum(sizes) - sizes)[kinds], counts) + within]
+        from_, to = (points[starts[rows] + cuts[:, i]] for i in range(2))
+        prefix = self.powers.prefix(text.astype(np.uint64))
+        bags = np.zeros(len(lines), np.int32) if self.bare else self._bags(text, offsets)
+        return counts, bags, self._key(self.powers.spans(prefix, from_, to), cuts[:, 2])
+
+    def _bags(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How often each line has each of the COUNTED letters, modulo 16."""
+        # Of 255 bytes at a time, so that eight numbers fit into one; sums of a line are kept in 16 bits.
+        blocks = -(np.diff(offsets) // -255)
+        first = np.cumsum(blocks) - blocks
+        within = np.arange(blocks.sum()) - np.repeat(first, blocks)
+        sums = np.add.reduceat(self.letters[text], np.repeat(offsets[:-1], blocks) + 255 * within)
+        bags = np.zeros(len(blocks), np.uint64)
+        for odd in range(2):
+            numbers = np.add.reduceat(sums >> np.uint64(8 * odd) & np.uint64(0x00FF00FF00FF00FF), first)
+            for k in range(odd, len(COUNTED), 2):
+                bags |= (numbers >> np.uint64(8 * (k - odd)) & np.uint64(15)) << np.uint64(4 * k)
+        return bags.astype(np.uint32).view(np.int32)
+
+    def _long(self, line: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        text = line.decode("utf-8", "replace")
+        cuts = self.places[len(text)]
+        sums = np.array([self._sum(text[a:b].encode()) for a, b, _ in cuts], np.uint64)
+        bag = sum((text.count(c) & 15) << 4 * k for k, c in enumerate(COUNTED))
+        return np.array([len(cuts)]), np.array([bag], np.uint32).view(np.int32), self._key(mixed(sums), cuts[:, 2])
+
+    def _sum(self, data: bytes) -> int:
+        """The rolling sum of all bytes, some of them at a time."""
+        total, up = 0, 1
+        for i in range(0, len(data), GROUP_BYTES):
+            part = np.frombuffer(data, np.uint8, min(GROUP_BYTES, len(data) - i), i)
+            total += int(self.powers.prefix(part.astype(np.uint64))[-1]) * up
+            up = up * pow(self.powers.base, len(part), 1 << 64) % (1 << 64)
+        return total % (1 << 64)
+
+
+def _keyed(lines: DataFrame, distance: int, min_chars: int, own: bool, bare: bool = False) -> DataFrame:
+    """id, bag and key, or key alone if `bare`: a row for each of a line's own keys, or for each of its other keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = Cache(lambda n: [p[:3] for p in _places(n, distance, min_chars) if p[3] or not own], 20_000)
-        digest = xxhash.xxh3_64_intdigest
+        made = Keys(distance, min_chars, own, bare)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            cuts = [places[len(text)] for text in texts]
-            keys = [digest(text[a:b].encode(), seed) for text, cut in zip(texts, cuts, strict=True) for a, b, seed in cut]
-            counts = np.array([len(cut) for cut in cuts], np.int64)
-            bags = np.array([_bag(text) for text in texts], np.uint64)
-            columns = [
-                np.repeat(batch.column(0).to_numpy(), counts),
-                np.repeat(signed(bags), counts),
-                signed(np.array(keys, np.uint64)),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "bag", "key"])
+            counts, bags, keys = made(batch.column(1))
+            columns = {"key": signed(keys)}
+            if not bare:
+                columns |= {"id": np.repeat(batch.column(0).to_numpy(), counts), "bag": np.repeat(bags, counts)}
+            yield pa.RecordBatch.from_pydict({name: pa.array(columns[name]) for name in names})
 
-    return lines.select("id", "line").mapInArrow(run, "id long, bag long, key long")
+    names = ["key"] if bare else ["id", "bag", "key"]
+    schema = ", ".join(f"{name} {'int' if name == 'bag' else 'long'}" for name in names)
+    return lines.select("id", "line").mapInArrow(run, schema)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -139,30 +216,31 @@ def _occurrences(docs: DataFrame) -> DataFrame:
     return lines.select("row", place.cast("decimal(38,0)").alias("place"), "number", F.xxhash64("line").alias("id"), "line")
 
 
-def _bag(line: str) -> int:
-    """How often the line has each of the COUNTED letters, up to 255 each, in one number."""
-    return sum(min(line.count(c), 255) << 8 * k for k, c in enumerate(COUNTED))
-
-
 def _alike(a: str, b: str, distance: int) -> Column:
-    """Whether the letters' numbers allow the distance: an edit changes them by two at most."""
+    """Whether the letters' numbers allow the distance: an edit changes them by two at most. A bag has them modulo 16, so
+    they differ by what their remainders differ by, the short way round, at least."""
 
     def part(bag: str, k: int) -> Column:
-        return F.shiftrightunsigned(bag, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+        return F.shiftrightunsigned(bag, 4 * k).bitwiseAND(F.lit(15))
 
     apart = [F.abs(part(a, k) - part(b, k)) for k in range(len(COUNTED))]
+    apart = [F.least(x, 16 - x) for x in apart]
     return sum(apart[1:], apart[0]) <= 2 * distance
 
 
 def _near(lines: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """id and place: for each line with others within the distance, the earliest place of those."""
     lines = lines.filter(_allowed(F.length("line"), distance, min_chars) > 0)
-    own, every = (_keyed(lines, distance, min_chars, alone) for alone in (True, False))
-    hot = stored(own.groupBy("key").count().filter(F.col("count") > HOT).withColumnRenamed("count", "n"), "hot-keys")
-
-    usual = own.join(hot, "key", "left_anti").withColumnsRenamed({"id": "a", "bag": "bag_a"})
-    pairs = usual.join(every.withColumnsRenamed({"id": "b", "bag": "bag_b"}), "key")
-    pairs = pairs.filter((F.col("a") != F.col("b")) & _alike("bag_a", "bag_b", distance))
+    own, other = (_keyed(lines, distance, min_chars, alone) for alone in (True, False))
+    counts = _keyed(lines, distance, min_chars, own=True, bare=True).groupBy("key").count()
+    hot = stored(counts.filter(F.col("count") > HOT).withColumnRenamed("count", "n"), "hot-keys")
+
+    # Own keys are shuffled once and meet each other, then the other keys.
+    usual = own.join(hot, "key", "left_anti")
+    left, right = (usual.withColumnsRenamed({"id": x, "bag": f"bag_{x}"}) for x in "ab")
+    other_side = other.withColumnsRenamed({"id": "b", "bag": "bag_b"})
+    pairs = left.join(right, "key").filter("a < b").unionByName(left.join(other_side, "key").filter("a <> b"))
+    pairs = pairs.filter(_alike("bag_a", "bag_b", distance))
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
     texts = lines.select("id", "line", "place")
     # The numbers of few lines are sent to the texts; many meet them by a shuffle.
@@ -175,7 +253,7 @@ def _near(lines: DataFrame, distance: int, min_chars: int) -> DataFrame:
     if hot.isEmpty():
         return links.groupBy("id").agg(F.min("place").alias("near"))
 
-    own, every = own.drop("bag"), every.drop("bag")
+    own, every = own.drop("bag"), own.union(other).drop("bag")
     left = own.join(hot, "key").join(texts, "id").withColumn("own", F.lit(True))
     right = every.join(hot, "key").join(texts, "id").withColumn("own", F.lit(False))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -248,7 +326,7 @@ def repeated_lines(
     )
     found = _occurrences(chosen.filter("doc_id IS NOT NULL"))
     lines = found.groupBy("line").agg(F.min("place").alias("place"), F.max("place").alias("last"))
-    lines = stored(lines.select(F.xxhash64("line").alias("id"), "line", "place", "last"), "lines")
+    lines = stored(lines.select(F.xxhash64("line").alias("id"), "line", "place", "last"), "lines", compression="zstd")
     near = stored(_near(lines, distance, min_chars), "near-lines")
     first = F.least("place", F.coalesce("near", "place"))
     first = lines.select("id", "place", "last").join(near, "id", "left").select("id", first.alias("first"), "last")

@@ -44,15 +44,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write `df` to the shared folder, with the writer's options, and read it back.
 
     The read side knows the table's true size, so Catalyst broadcasts it in later joins only if it is small, and
     a lost executor costs a re-read and no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 

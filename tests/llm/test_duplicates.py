@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from brute import covered_words, edits, near_duplicates, repeated_lines, sha256
 
@@ -52,6 +53,30 @@ def test_lines(spark, monkeypatch, hot, block, sent):
     assert sorted(map(tuple, cut.collect()), key=repr) == sorted(texts, key=repr)
 
 
+def test_keys_of_lines(monkeypatch):
+    choice = random.Random(8)
+    lines = ["".join(choice.choice("etaé日 ") for _ in range(choice.randint(2, 400))) for _ in range(200)] + ["é" * 700, "e" * 300]
+    column, made = pa.array(["left out", *lines]).slice(1), {}
+    for size in (line_edit_join.GROUP_BYTES, 500, 1):
+        monkeypatch.setattr(line_edit_join, "GROUP_BYTES", size)
+        for own in (True, False):
+            counts, bags, keys = (x.tolist() for x in line_edit_join.Keys(2, 24, own)(column))
+            assert made.setdefault(own, (counts, bags, keys)) == (counts, bags, keys)
+            places = [[p for p in line_edit_join._places(len(x), 2, 24) if p[3] == own] for x in lines]
+            assert counts == list(map(len, places))
+            assert bags == [sum(x.count(c) % 16 << 4 * k for k, c in enumerate(line_edit_join.COUNTED)) for x in lines]
+            cut = [(x[a:b], seed) for x, found in zip(lines, places, strict=True) for a, b, seed, _ in found]
+            assert len(set(zip(cut, keys, strict=True))) == len(set(cut)) == len(set(keys))
+    empty = line_edit_join.Keys(2, 24, True)(pa.array([], pa.string()))
+    assert [len(x) for x in empty] == [0, 0, 0]
+
+
+def test_own_keys_are_not_looked_up_again(spark):
+    lines = spark.createDataFrame([(1, "the quick brown fox jumps over lazy dogs")], "id long, line string")
+    own, other = ({r["key"] for r in line_edit_join._keyed(lines, 2, 24, alone).collect()} for alone in (True, False))
+    assert len(own) == 3 and len(other) == 9 and not own & other
+
+
 def short_rows():
     choice, rows = random.Random(11), [(0, "Home\nShare\n\n \nShare\nHome \nHone"), (1, "Home\nAll rights reserved.\nx"), (2, "All rights reserved\nx\r\n")]
     for k in range(3, 60):
