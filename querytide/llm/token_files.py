@@ -17,14 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from querytide.llm.common import as_bytes, lists
+from querytide.llm.common import lists
 from querytide.llm.pieces import PieceEncoder, kept, read_vocabulary
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
-#: Bytes of text per Arrow batch handed back.
-BATCH_BYTES = 4 << 20
 
 
 def write_token_files(
@@ -53,27 +51,25 @@ def write_token_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
-        encoder, end = kept(source.value, PieceEncoder), np.array([end_id], np.uint32)
+        encoder = kept(source.value, PieceEncoder)
         for batch in batches:
-            first, found, size = 0, [], 0
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                found += [encoder.encode(text), end]
-                size += len(text)
-                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
-                    counts = np.array([len(x) + 1 for x in found[::2]], np.int64)
-                    places = place + np.cumsum(counts) - counts
-                    place += int(counts.sum())
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(counts), part, np.int32)),
-                            batch.column(0).slice(first, len(counts)),
-                            pa.array(places),
-                            pa.array(counts),
-                            lists(np.concatenate(found).view(np.int32), counts, pa.int32()),
-                        ],
-                        names=["part", "doc_id", "place", "n_tokens", "tokens"],
-                    )
-                    first, found, size = i + 1, [], 0
+            first = 0
+            for ids, counts in encoder.encode_all(batch.column(1)):
+                counts = counts + 1
+                ends = np.cumsum(counts)
+                tokens = np.full(ends[-1], end_id, np.uint32)
+                tokens[np.delete(np.arange(ends[-1]), ends - 1)] = ids
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(counts), part, np.int32)),
+                        batch.column(0).slice(first, len(counts)),
+                        pa.array(place + ends - counts),
+                        pa.array(counts),
+                        lists(tokens.view(np.int32), counts, pa.int32()),
+                    ],
+                    names=["part", "doc_id", "place", "n_tokens", "tokens"],
+                )
+                first, place = first + len(counts), place + int(ends[-1])
 
     schema = "part int, doc_id long, place long, n_tokens long, tokens array<int>"
     writer = ordered.mapInArrow(run, schema).write.option("compression", "zstd")

@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from querytide.llm import pieces
 from querytide.llm.backtracking_bpe import BacktrackingBpe, digests, encode_and_decode
 from querytide.llm.pieces import PieceEncoder, read_vocabulary
 from querytide.llm.token_files import read_token_files, with_crc32, write_token_files
@@ -52,6 +53,35 @@ def test_odd_text_equals_the_library(text):
     check(text)
 
 
+@pytest.mark.parametrize("size", [1, 40, 4 << 20])
+def test_groups_of_texts_equal_the_library(monkeypatch, size):
+    monkeypatch.setattr(pieces, "GROUP_BYTES", size)
+    choice = random.Random(size)
+    texts = [*ODD, None, *(" ".join(choice.choice(["The", "the,", "日本", "x<|endoftext|>", "é\x1c", "a" * 70]) for _ in range(9)) for _ in range(20))]
+    for encoder in (PIECES,):
+        for column in (pa.array(["left out", *texts]).slice(1), pa.array(texts, pa.large_string())):
+            found = list(encoder.encode_all(column))
+            assert np.concatenate([ids for ids, _ in found]).tolist() == [i for t in texts for i in library(t)]
+            assert np.concatenate([counts for _, counts in found]).tolist() == [len(library(t)) for t in texts]
+    assert list(PIECES.encode_all(pa.array([], pa.string()))) == []
+    assert PIECES.encode(b"a\xff b").tolist() == library("a\ufffd b")
+
+
+def test_a_piece_of_many_words_is_encoded_once():
+    asked = []
+    encoder = PieceEncoder(SOURCE, lambda piece: asked.append(piece) or PIECES.one(piece))
+    text = "The the, THE. (the) the the! other " * 50
+    assert encoder.encode(text.encode()).tolist() == library(text)
+    assert len(asked) == len(set(asked))
+
+
+def test_pieces_are_forgotten_when_too_many_are_known():
+    encoder = PieceEncoder(SOURCE, size=3)
+    for text in ("a b c d", "b e", "a b"):
+        assert encoder.encode(text.encode()).tolist() == library(text)
+    assert sorted(encoder.numbers.known) == ["", "a", "b", "e"]
+
+
 def rows():
     return [(k, t) for k, t in enumerate(ODD)] + [(2, "twice"), (2, "Twice"), (None, "no id"), (99, None), (50, "word " * 20_000)]
 
