@@ -12,7 +12,6 @@ normalizer and splitter do; the merging and the decoding are done here.
 
 from __future__ import annotations
 
-import itertools
 import json
 from collections.abc import Iterator
 
@@ -23,11 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querytide.errors import QuerytideError
-from querytide.llm.common import Cache, as_bytes, give_back, lists
+from querytide.llm.common import Cache, give_back, lists
 from querytide.llm.pieces import PieceEncoder, forget, kept, read_vocabulary
 
-#: Bytes of text per Arrow batch handed back; keeps batches of very long texts small.
-BATCH_BYTES = 4 << 20
 _PAIRS_KEPT = 400_000
 #: Words kept by a worker: fewer than in op8, as the pair table and the automaton stand beside them.
 _WORDS_KEPT = 400_000
@@ -72,7 +69,8 @@ class BacktrackingBpe:
             next((known[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in known), -1) for s in symbols
         ]
         self.pairs = Cache(lambda pair: self._may_touch(*pair), _PAIRS_KEPT)
-        self.encode = PieceEncoder(source, self.ids_of_piece, _WORDS_KEPT).encode
+        encoder = PieceEncoder(source, self.ids_of_piece, _WORDS_KEPT)
+        self.encode, self.encode_all = encoder.encode, encoder.encode_all
 
         # The offset table: token i is blob[offsets[i]:offsets[i + 1]], each with the blank that decoding puts between.
         texts = {i: t for t, i in vocabulary.items()} | {i: t for t, i in added.items()}
@@ -110,41 +108,65 @@ class BacktrackingBpe:
                     return True
 
     def ids_of_piece(self, piece: str) -> list[int]:
-        """The ids of one piece, given in byte characters: its longest matches in a row if all may touch, else by
-        backtracking. Tokens that may touch pairwise are the only such row, so the short way gives the same ids."""
+        """The ids of one piece, given in byte characters. Tokens that may touch pairwise and fill the piece are the only
+        such row, so any way that finds one gives the same ids."""
         word = piece[:-1] + chr(ord(piece[-1]) + self.shift)
-        found = [token for _, token in self.automaton.iter_long(word)]
-        pairs = self.pairs
-        if sum([self.length[t] for t in found]) != len(word) or not all(
-            [pairs[pair] for pair in itertools.pairwise(found)]
-        ):
-            found = self._backtrack(word)
-        return [self.ids[t] for t in found]
+        found = self._walked(word)
+        return [self.ids[t] for t in (self._backtrack(word) if found is None else found)]
+
+    def _walked(self, word: str) -> list[int] | None:
+        """The tokens of a word by backtracking, with longest matches looked up only at the places that are visited; None
+        if there is no match at one of them or no way through."""
+        n, length, shorter, pairs, longest = len(word), self.length, self.shorter, self.pairs, self.automaton.iter_long
+        found: list[int] = []
+        shut: set[int] = set()
+        place, before, matches = 0, -1, longest(word)
+        while True:
+            last, token = next(matches, (-1, -1))
+            if token < 0 or last + 1 - length[token] != place:
+                return None
+            while True:
+                while token >= 0:
+                    stop = place + length[token]
+                    if (before < 0 or pairs[before, token]) and stop not in shut:
+                        break
+                    token, matches = shorter[token], None
+                if token >= 0:
+                    break
+                if not found:
+                    return None
+                shut.add(place)
+                token, matches = found.pop(), None
+                place, before = place - length[token], found[-1] if found else -1
+            found.append(token)
+            place, before = stop, token
+            if place == n:
+                return found
+            matches = matches or longest(word, place)
 
     def _backtrack(self, word: str) -> list[int]:
-        n = len(word)
+        n, length, shorter, pairs = len(word), self.length, self.shorter, self.pairs
         longest = [-1] * n
-        for last, token in self.automaton.iter(word):
-            first = last + 1 - self.length[token]
-            if longest[first] < 0 or self.length[token] > self.length[longest[first]]:
-                longest[first] = token
+        for last, token in self.automaton.iter(word):  # by their ends, so the longest comes last
+            longest[last + 1 - length[token]] = token
         open_ends = bytearray(b"\1") * (n + 1)
         found: list[int] = []
-        place, token = 0, longest[0]
+        place, token, before = 0, longest[0], -1
         while place < n:
             while token >= 0:
-                stop = place + self.length[token]
-                if open_ends[stop] and (not found or self.pairs[found[-1], token]):
+                stop = place + length[token]
+                if open_ends[stop] and (before < 0 or pairs[before, token]):
                     break
-                token = self.shorter[token]
+                token = shorter[token]
             if token >= 0:
                 found.append(token)
-                place = stop
+                place, before = stop, token
                 token = longest[place] if place < n else -1
             elif found:
                 open_ends[place] = 0
                 token = found.pop()
-                place -= self.length[token]
+                before = found[-1] if found else -1
+                place -= length[token]
             else:
                 raise QuerytideError("a symbol of the text is not in the vocabulary")
         return found
@@ -179,30 +201,20 @@ def encode_and_decode(
 
     def _encoded(bpe: BacktrackingBpe, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, ids, texts, size = [], [], [], 0
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                found = bpe.encode(text)
-                ids.append(found)
-                texts.append(bpe.decode(found))
-                names.append(i)
-                size += len(text)
-                if size >= BATCH_BYTES:
-                    yield _rows(batch, names, ids, texts)
-                    names, ids, texts, size = [], [], [], 0
-            if names:
-                yield _rows(batch, names, ids, texts)
+            first = 0
+            for ids, counts in bpe.encode_all(batch.column(1)):
+                texts = [bpe.decode(found).decode() for found in np.split(ids, np.cumsum(counts)[:-1])]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, len(counts)),
+                        lists(ids.view(np.int32), counts, pa.int32()),
+                        pa.array(texts, pa.string()),
+                    ],
+                    names=["doc_id", "ids", "decoded"],
+                )
+                first += len(counts)
             give_back()
 
-    def _rows(batch, names, ids, texts):
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0).slice(names[0], len(names)),
-                lists(np.concatenate(ids).view(np.int32), np.array([len(x) for x in ids]), pa.int32()),
-                pa.array([t.decode() for t in texts], pa.string()),
-            ],
-            names=["doc_id", "ids", "decoded"],
-        )
-
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

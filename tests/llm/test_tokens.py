@@ -58,7 +58,7 @@ def test_groups_of_texts_equal_the_library(monkeypatch, size):
     monkeypatch.setattr(pieces, "GROUP_BYTES", size)
     choice = random.Random(size)
     texts = [*ODD, None, *(" ".join(choice.choice(["The", "the,", "日本", "x<|endoftext|>", "é\x1c", "a" * 70]) for _ in range(9)) for _ in range(20))]
-    for encoder in (PIECES,):
+    for encoder in (BPE, PIECES):
         for column in (pa.array(["left out", *texts]).slice(1), pa.array(texts, pa.large_string())):
             found = list(encoder.encode_all(column))
             assert np.concatenate([ids for ids, _ in found]).tolist() == [i for t in texts for i in library(t)]
