@@ -39,6 +39,8 @@ COORDINATES, MAX_DIFFERENT = 384, 87
 SLOTS, SEED = 1 << 20, 20_260_101
 #: Nodes up to which a shingle is rare, and 64-bit words that mark a node's rare shingles.
 RARE, MARKS = 8, 4
+#: Nodes up to which the hashes of their texts are broadcast (some 50 bytes each); all texts are shuffled beyond that.
+MAX_SENT = 2_000_000
 _ROUND = 2048
 _MARKS = [f"mark_{k}" for k in range(MARKS)]
 
@@ -272,6 +274,9 @@ def _named(chosen: DataFrame) -> DataFrame:
     one = stored(nodes.join(met, "node", "left_semi").select("node", "row.*", "s"), "met")
     signatures = one.select("node", "s")
     wanted = one.select("node", F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    if one.count() <= MAX_SENT:  # then texts that are not wanted need not be shuffled
+        hashes = F.broadcast(wanted.select("hash").distinct())
+        chosen = chosen.join(hashes, F.col("text_hash") == F.col("hash"), "left_semi")
     found = chosen.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
     sets = stored(_sets(found.select("node", "text").dropDuplicates(["node"])), "sets")
 

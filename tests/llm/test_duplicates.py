@@ -204,6 +204,18 @@ def test_a_group_of_changed_copies_is_not_expanded_into_its_pairs(spark, monkeyp
     assert compared[2] < 5 * len(rows)  # the rest, after one hub and all hubs of each node
 
 
+@pytest.mark.parametrize("sent", [0, 2_000_000])
+def test_texts_that_meet_no_other_are_not_shuffled(spark, monkeypatch, sent):
+    monkeypatch.setattr(circulant_minhash, "MAX_SENT", sent)
+    plans, sets = [], circulant_minhash._sets
+    monkeypatch.setattr(circulant_minhash, "_sets", lambda docs: plans.append(docs) or sets(docs))
+    rows = [(k, f"{k} " * 9 + "a b c d e f g") for k in range(30)] + [(40, "l m n o p q r s"), (41, "l m n o p q r s"), (42, "l m n o p q r s t")]
+    got = circulant_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in got) == sorted((k, k not in (41, 42)) for k, _ in rows)
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert ("LeftSemi, BuildRight" in plan) == (sent > 0)
+
+
 def test_components(spark):
     choice = random.Random(8)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 60)] + [(choice.randint(200, 260), choice.randint(200, 260)) for _ in range(50)]
